@@ -748,3 +748,246 @@ def q_feature_round_trip(spark, d):
     path = scratch_path(spark, f"training_set/{zlib.crc32(d.encode())}")
     write_features(FE.training_set(raw(spark, d)), path, "json")
     return read_features(spark, path, "json")
+
+
+# ---------------------------------------------------------------- ML transforms and metrics
+# (imported late: the ML classes load only when these queries are used)
+
+from . import ml as ML  # noqa: E402
+from . import score as SC  # noqa: E402
+
+
+def batch_features(spark, d) -> DataFrame:
+    return FE.behaviour_features(raw(spark, d), AS_OF)
+
+
+def _index_sql(col: str, alias: str) -> str:
+    return (
+        f"{alias} AS (SELECT {col} AS v, row_number() OVER (ORDER BY count(*) DESC, {col}) - 1 AS idx, "
+        f"count(*) OVER () AS n_labels FROM bf GROUP BY {col})"
+    )
+
+
+INDEX_SQL = ", ".join(_index_sql(c, a) for c, a in [("gender", "gi"), ("last_level", "li"), ("last_state", "si")])
+VEC_SQL = (
+    "vec AS (SELECT b.*, gi.idx AS g, gi.n_labels AS ng, li.idx AS l, li.n_labels AS nl, si.idx AS s, si.n_labels AS ns, "
+    "CAST(3 AS DOUBLE) + days_active + avg_songs + avg_events + thumbs_up + thumbs_down + addfriend AS norm "
+    "FROM bf b JOIN gi ON b.gender = gi.v JOIN li ON b.last_level = li.v JOIN si ON b.last_state = si.v)"
+)
+ML_CTES = (*BF_CTES, INDEX_SQL, VEC_SQL)
+
+
+@register(
+    "indexed_categories",
+    sql(
+        "SELECT userId, CAST(g AS DOUBLE) AS genderIndex, CAST(l AS DOUBLE) AS levelIndex, CAST(s AS DOUBLE) AS stateIndex FROM vec",
+        *ML_CTES,
+    ),
+)
+def q_indexed_categories(spark, d):
+    return ML.index_categories(batch_features(spark, d)).select("userId", *ML.BATCH_INDEXED)
+
+
+@register(
+    "one_hot_slots",
+    sql(
+        "SELECT userId, CAST(g AS INTEGER) AS gender_slot, CAST(ng AS INTEGER) AS gender_size, "
+        "CAST(l AS INTEGER) AS level_slot, CAST(nl AS INTEGER) AS level_size, "
+        "CAST(s AS INTEGER) AS state_slot, CAST(ns AS INTEGER) AS state_size FROM vec",
+        *ML_CTES,
+    ),
+)
+def q_one_hot_slots(spark, d):
+    enc = ML.one_hot(batch_features(spark, d))
+    cols = {}
+    for name, vec in zip(["gender", "level", "state"], ML.BATCH_ONE_HOT):
+        arr = ML.vector_to_array(vec)
+        cols[f"{name}_slot"] = (F.array_position(arr, 1.0) - 1).cast("int")
+        cols[f"{name}_size"] = F.size(arr).cast("int")
+    return enc.select("userId", *[v.alias(k) for k, v in cols.items()])
+
+
+_L1_PARTS = [("1", "g"), ("1", "ng + l"), ("1", "ng + nl + s")] + [
+    (c, f"ng + nl + ns + {i}") for i, c in enumerate(ML.BATCH_NUMERIC)
+]
+
+
+@register(
+    "l1_features",
+    sql(
+        " UNION ALL ".join(
+            f"SELECT userId, CAST({slot} AS INTEGER) AS slot, round({x} / norm, 9) AS value FROM vec"
+            + ("" if x == "1" else f" WHERE {x} <> 0")
+            for x, slot in _L1_PARTS
+        ),
+        *ML_CTES,
+    ),
+)
+def q_l1_features(spark, d):
+    entries = ML.nonzero_entries(ML.l1_features(batch_features(spark, d)), "features")
+    return entries.withColumn("value", F.round("value", 9))
+
+
+N_SCALED = len(FE.CATEGORICAL_FEATURES) + len(FE.NUMERICAL_FEATURES)
+_STATS_SQL = "st AS (SELECT " + ", ".join(
+    f'avg(CAST("{c}" AS DOUBLE)) AS m{i}, stddev_samp(CAST("{c}" AS DOUBLE)) AS s{i}'
+    for i, c in enumerate(FE.NUMERICAL_FEATURES)
+) + " FROM train)"
+_SCALED_COLS_SQL = ", ".join(
+    [f"CAST({c} AS DOUBLE) AS f_{i:02d}" for i, c in enumerate(FE.CATEGORICAL_FEATURES)]
+    + [
+        f'round(CASE WHEN s{i} = 0 THEN 0 ELSE (CAST("{c}" AS DOUBLE) - m{i}) / s{i} END, 6) + CAST(0 AS DOUBLE) '
+        f"AS f_{i + len(FE.CATEGORICAL_FEATURES):02d}"
+        for i, c in enumerate(FE.NUMERICAL_FEATURES)
+    ]
+)
+
+
+@register(
+    "scaled_features",
+    sql(f"SELECT userId, CAST(Churn AS DOUBLE) AS label, {_SCALED_COLS_SQL} FROM train, st", *TRAIN_CTES, _STATS_SQL),
+)
+def q_scaled_features(spark, d):
+    t = ML.scaled_training_set(FE.training_set(raw(spark, d)), keep_key=True)
+    arr = ML.vector_to_array("features")
+    return t.select(
+        "userId",
+        "label",
+        *[(F.round(arr[i], DIGITS) + F.lit(0.0)).alias(f"f_{i:02d}") for i in range(N_SCALED)],
+    )
+
+
+def rule_predictions(bf: DataFrame) -> DataFrame:
+    """A fixed, data-derived prediction table to check the metric function:
+    predict churn for users whose last level is free."""
+    return bf.select(
+        F.col("churn").cast("double").alias("label"),
+        F.when(F.col("last_level") == "free", 1.0).otherwise(0.0).alias("prediction"),
+    )
+
+
+@register(
+    "confusion_and_f1",
+    sql(
+        "SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(tp) / sum(n), 9) AS accuracy, "
+        "round(sum(prec * n) / sum(n), 9) AS weighted_precision, round(sum(rec * n) / sum(n), 9) AS weighted_recall, "
+        "round(sum(f1 * n) / sum(n), 9) AS weighted_f1 FROM m2",
+        *BF_CTES,
+        "conf AS (SELECT CAST(churn AS DOUBLE) AS l, CASE WHEN last_level = 'free' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS p, "
+        "CAST(count(*) AS DOUBLE) AS w FROM bf GROUP BY 1, 2), "
+        "pl AS (SELECT l, sum(w) AS n, sum(CASE WHEN l = p THEN w ELSE 0 END) AS tp FROM conf GROUP BY l), "
+        "pp AS (SELECT p AS l, sum(CASE WHEN l <> p THEN w ELSE 0 END) AS fp FROM conf GROUP BY p), "
+        "m AS (SELECT pl.l, n, tp, coalesce(fp, 0) AS fp, CASE WHEN tp + coalesce(fp, 0) = 0 THEN 0 "
+        "ELSE tp / (tp + coalesce(fp, 0)) END AS prec, tp / n AS rec FROM pl LEFT JOIN pp USING (l)), "
+        "m2 AS (SELECT *, CASE WHEN prec + rec = 0 THEN 0 ELSE 2 * prec * rec / (prec + rec) END AS f1 FROM m)",
+    ),
+)
+def q_confusion_and_f1(spark, d):
+    m = ML.evaluate(rule_predictions(batch_features(spark, d)))
+    return rounded(m, ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1"], 9)
+
+
+# ---------------------------------------------------------------- ML fits (rows-only checks)
+
+
+@register("hash_split")
+def q_hash_split(spark, d):
+    bf = batch_features(spark, d)
+    return bf.select("userId", ML.hash_split_column([0.6, 0.2, 0.2], 42).alias("split"))
+
+
+def notebook_split(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Scaled (label, features) table written to the shared folder, split 80/20."""
+    t = ML.scaled_training_set(FE.training_set(raw(spark, d)), keep_key=True)
+    t = ML.materialize(t, f"notebook_features/{zlib.crc32(d.encode())}")
+    train, valid = ML.hash_split(t, [0.8, 0.2], 0)
+    return train, valid
+
+
+def _model_query(name: str):
+    def run(spark, d):
+        train, valid = notebook_split(spark, d)
+        make, folds = ML.MODEL_SPECS[name]
+        cvm = ML.cross_validate(make(), train, folds)
+        return cvm.transform(valid).select("userId", "label", "prediction")
+
+    return run
+
+
+for _key, _spec in [("model_forest", "random_forest"), ("model_gbt", "gbt"), ("model_logistic", "logistic_regression"), ("model_svm", "linear_svm")]:
+    register(_key)(_model_query(_spec))
+
+
+@register("cross_validation")
+def q_cross_validation(spark, d):
+    train, _ = notebook_split(spark, d)
+    cvm = ML.cross_validate(ML.train_forest(seed=42, max_depth=5), train, 10)
+    return ML.cv_metrics(spark, cvm, "random_forest")
+
+
+@register("grid_search")
+def q_grid_search(spark, d):
+    train, _ = notebook_split(spark, d)
+    svm = ML.train_svm()
+    grid = ML.param_grid(svm, {"maxIter": [50, 100, 150], "regParam": [0.0, 0.01]})
+    return ML.cv_metrics(spark, ML.cross_validate(svm, train, 3, grid), "linear_svm")
+
+
+@register("grid_search_forest")
+def q_grid_search_forest(spark, d):
+    train, _ = notebook_split(spark, d)
+    rf = ML.train_forest(seed=42)
+    grid = ML.param_grid(rf, {"maxDepth": [3, 4, 5, 6, 8], "numTrees": [20, 15, 10, 5]})
+    return ML.cv_metrics(spark, ML.cross_validate(rf, train, 10, grid, parallelism=8), "random_forest")
+
+
+@register("model_comparison")
+def q_model_comparison(spark, d):
+    train, valid = notebook_split(spark, d)
+    return ML.compare_models(train, valid)
+
+
+def _built_model(spark, d):
+    from ..session import scratch_path
+
+    dst = scratch_path(spark, f"churn_model/{zlib.crc32(d.encode())}")
+    return ML.build_churn_model(batch_features(spark, d), seed=42, dst=dst)
+
+
+@register("build_model")
+def q_build_model(spark, d):
+    _, report = _built_model(spark, d)
+    return report
+
+
+def scoring_requests(spark, d) -> DataFrame:
+    """Every user as a request, plus the same requests with a level the model
+    never saw (those must come back as -1)."""
+    req = SC.requests_from_features(batch_features(spark, d), AS_OF)
+    unseen = req.withColumn("request_id", F.col("request_id") + 1).withColumn("level", F.lit("unseen"))
+    return req.unionByName(unseen)
+
+
+@register("score_batch")
+def q_score_batch(spark, d):
+    model, _ = _built_model(spark, d)
+    return SC.score_requests(model, scoring_requests(spark, d), AS_OF)
+
+
+@register("score_stream")
+def q_score_stream(spark, d):
+    from ..session import scratch_path
+    from ..streaming.scoring import start_scoring
+
+    model, _ = _built_model(spark, d)
+    base = scratch_path(spark, f"score_stream/{zlib.crc32(d.encode())}")
+    source, sink, ckpt = f"{base}/requests", f"{base}/scored", f"{base}/checkpoint"
+    scoring_requests(spark, d).write.mode("overwrite").parquet(source)
+    import shutil
+
+    for p in (sink, ckpt):
+        if "://" not in p:
+            shutil.rmtree(p, ignore_errors=True)
+    q = start_scoring(model, spark, source, sink, ckpt, AS_OF, available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
