@@ -458,11 +458,11 @@ def q_length_by_churn(spark, d):
 
 
 USER_DIMS = {
-    "auth": ("auth", F.col("auth")),
-    "gender": ("gender", F.col("gender")),
-    "level": ("level", F.col("level")),
-    "city": ("split_part(location, ',', 1)", X.city("location")),
-    "state": (STATE_SQL.format(x="location"), X.state_group("location")),
+    "auth": ("auth", lambda: F.col("auth")),
+    "gender": ("gender", lambda: F.col("gender")),
+    "level": ("level", lambda: F.col("level")),
+    "city": ("split_part(location, ',', 1)", lambda: X.city("location")),
+    "state": (STATE_SQL.format(x="location"), lambda: X.state_group("location")),
 }
 EVENT_DIMS = {
     "page": ("page", lambda: F.col("page")),
@@ -499,7 +499,7 @@ def _scaled_sql(ct_sql: str, name: str) -> str:
 for _name, (_sql_expr, _col) in USER_DIMS.items():
 
     def _churn_by(spark, d, _name=_name, _col=_col):
-        return CT.user_crosstab(clean(spark, d), _col, _name)
+        return CT.user_crosstab(clean(spark, d), _col(), _name)
 
     register(f"churn_by_{_name}", sql(_user_ct_sql(_sql_expr, _name), *LABEL_CTES, LATEST))(_churn_by)
 
@@ -508,7 +508,7 @@ for _name in ["city", "state"]:
     _body, _extra = _scaled_sql(_user_ct_sql(_sql_expr, _name), _name)
 
     def _scaled_user(spark, d, _name=_name, _col=_col):
-        return CT.scaled_crosstab(CT.user_crosstab(clean(spark, d), _col, _name), _name)
+        return CT.scaled_crosstab(CT.user_crosstab(clean(spark, d), _col(), _name), _name)
 
     register(f"scaled_{_name}", sql(_body, *LABEL_CTES, LATEST, *_extra))(_scaled_user)
 
