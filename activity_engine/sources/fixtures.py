@@ -3,13 +3,15 @@
 The test data has no music-service event log, so the engine's input is
 derived from ``events`` joined to ``customer``, ``nation`` and ``region``.
 The rules live here once; the DuckDB oracle builds the same view from the
-same rules (``plans/oracle.py``).
+same rules (``plans/oracle_sql.py``).
 
 Plan shape: ``nation`` and ``region`` are fixed-size dimensions (25 and 5
-rows by the TPC-H spec) and are broadcast explicitly.  ``customer`` grows
-with the scale factor, so it is joined without a hint: AQE turns the join
-into a broadcast at run time only when the measured size allows it and
-otherwise keeps a sort-merge join with skew splitting.
+rows by the TPC-H spec) and are broadcast explicitly, each joined straight
+to the event side so their broadcasts are independent stages rather than a
+chain.  ``customer`` grows with the scale factor, so it is joined without a
+hint: AQE turns the join into a broadcast at run time only when the
+measured size allows it and otherwise keeps a sort-merge join with skew
+splitting.
 """
 
 from __future__ import annotations
@@ -28,9 +30,21 @@ USER_AGENTS = [
     "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/36.0 Safari/537.36",
 ]
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table as a DataFrame, read once per session and directory (the
+    file listing and footer read are shared by every query)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
+
+
+def clear_tables() -> None:
+    """Forget the table handles (after the files were rewritten)."""
+    _TABLES.clear()
 
 
 def _page(event_type: Column, k: Column) -> Column:
@@ -43,21 +57,14 @@ def _page(event_type: Column, k: Column) -> Column:
     )
 
 
-def user_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer: ``c_custkey, location`` (``NATION_n, [ZZ-]RE``)."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    places = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
-        "n_nationkey",
-        F.concat(
-            F.col("n_name"),
-            F.lit(", "),
-            F.when(F.col("n_nationkey") % 3 == 0, F.lit("ZZ-")).otherwise(F.lit("")),
-            F.substring("r_name", 1, 2),
-        ).alias("location"),
+def _location() -> Column:
+    """``NATION_n, [ZZ-]RE``: nation name, then the first two letters of the region."""
+    return F.concat(
+        F.col("n_name"),
+        F.lit(", "),
+        F.when(F.col("n_nationkey") % 3 == 0, F.lit("ZZ-")).otherwise(F.lit("")),
+        F.substring("r_name", 1, 2),
     )
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return customer.join(F.broadcast(places), customer.c_nationkey == places.n_nationkey).select("c_custkey", "location")
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +72,14 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     ev = ev.withColumn("k", F.regexp_extract("props", r"([0-9]+)", 1).cast("int"))
-    joined = ev.join(user_locations(spark, sf_dir), ev.user_id == F.col("c_custkey"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    joined = (
+        ev.join(customer, ev.user_id == customer.c_custkey)
+        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
     page = _page(F.col("event_type"), F.col("k"))
     play = F.col("event_type") == "click"
     agents = F.array(*[F.lit(a) for a in USER_AGENTS])
@@ -78,7 +92,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(page == "Cancellation Confirmation", "Cancelled").otherwise("Logged In").alias("auth"),
         F.when(F.col("k") < 50, "free").otherwise("paid").alias("level"),
         F.when(F.col("user_id") % 2 == 0, "F").otherwise("M").alias("gender"),
-        F.col("location"),
+        _location().alias("location"),
         F.get(agents, ((F.col("user_id") + F.col("k")) % 5).cast("int")).alias("userAgent"),
         F.when(play, F.concat(F.lit("song_"), (F.col("event_id") % 200).cast("string"))).alias("song"),
         F.when(play, F.concat(F.lit("artist_"), (F.col("event_id") % 60).cast("string"))).alias("artist"),
