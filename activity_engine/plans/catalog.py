@@ -848,7 +848,8 @@ _SCALED_COLS_SQL = ", ".join(
     sql(f"SELECT userId, CAST(Churn AS DOUBLE) AS label, {_SCALED_COLS_SQL} FROM train, st", *TRAIN_CTES, _STATS_SQL),
 )
 def q_scaled_features(spark, d):
-    t = ML.scaled_training_set(FE.training_set(raw(spark, d)), keep_key=True)
+    t = ML.materialize(FE.training_set(raw(spark, d)), f"training_set/{zlib.crc32(d.encode())}")
+    t = ML.scaled_training_set(t, keep_key=True)
     arr = ML.vector_to_array("features")
     return t.select(
         "userId",
@@ -898,8 +899,8 @@ def q_hash_split(spark, d):
 
 def notebook_split(spark, d) -> tuple[DataFrame, DataFrame]:
     """Scaled (label, features) table written to the shared folder, split 80/20."""
-    t = ML.scaled_training_set(FE.training_set(raw(spark, d)), keep_key=True)
-    t = ML.materialize(t, f"notebook_features/{zlib.crc32(d.encode())}")
+    t = ML.materialize(FE.training_set(raw(spark, d)), f"training_set/{zlib.crc32(d.encode())}")
+    t = ML.scaled_training_set(t, keep_key=True)
     train, valid = ML.hash_split(t, [0.8, 0.2], 0)
     return train, valid
 
@@ -948,30 +949,35 @@ def q_model_comparison(spark, d):
 
 
 def _built_model(spark, d):
+    """C-7 on the batch features: the fitted pipeline is saved to the shared
+    folder (S-5) and loaded back (S-6) as the scoring service would."""
     from ..session import scratch_path
+    from ..sources.schema import load_model
 
-    dst = scratch_path(spark, f"churn_model/{zlib.crc32(d.encode())}")
-    return ML.build_churn_model(batch_features(spark, d), seed=42, dst=dst)
+    key = zlib.crc32(d.encode())
+    bf = ML.materialize(batch_features(spark, d), f"behaviour_features/{key}")
+    dst = scratch_path(spark, f"churn_model/{key}")
+    _, report = ML.build_churn_model(bf, seed=42, dst=dst)
+    return load_model(dst), report, bf
 
 
 @register("build_model")
 def q_build_model(spark, d):
-    _, report = _built_model(spark, d)
-    return report
+    return _built_model(spark, d)[1]
 
 
-def scoring_requests(spark, d) -> DataFrame:
+def scoring_requests(bf: DataFrame) -> DataFrame:
     """Every user as a request, plus the same requests with a level the model
     never saw (those must come back as -1)."""
-    req = SC.requests_from_features(batch_features(spark, d), AS_OF)
+    req = SC.requests_from_features(bf, AS_OF)
     unseen = req.withColumn("request_id", F.col("request_id") + 1).withColumn("level", F.lit("unseen"))
     return req.unionByName(unseen)
 
 
 @register("score_batch")
 def q_score_batch(spark, d):
-    model, _ = _built_model(spark, d)
-    return SC.score_requests(model, scoring_requests(spark, d), AS_OF)
+    model, _, bf = _built_model(spark, d)
+    return SC.score_requests(model, scoring_requests(bf), AS_OF)
 
 
 @register("score_stream")
@@ -979,10 +985,10 @@ def q_score_stream(spark, d):
     from ..session import scratch_path
     from ..streaming.scoring import start_scoring
 
-    model, _ = _built_model(spark, d)
+    model, _, bf = _built_model(spark, d)
     base = scratch_path(spark, f"score_stream/{zlib.crc32(d.encode())}")
     source, sink, ckpt = f"{base}/requests", f"{base}/scored", f"{base}/checkpoint"
-    scoring_requests(spark, d).write.mode("overwrite").parquet(source)
+    scoring_requests(bf).write.mode("overwrite").parquet(source)
     import shutil
 
     for p in (sink, ckpt):

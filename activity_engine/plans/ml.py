@@ -265,10 +265,11 @@ def churn_pipeline(num_trees: int = 100, max_depth: int = 5, seed: int | None =
 
 
 def build_churn_model(bf: DataFrame, seed: int = 42, num_trees: int = 100, dst: str | None = None, overwrite: bool = True):
-    """C-7: split 60/20/20, fit the pipeline on train, evaluate every split,
-    optionally save.  Returns ``(model, report)``."""
+    """C-7: split 60/20/20 (by user hash), fit the pipeline on train, evaluate
+    every split, optionally save.  Returns ``(model, report)``.  Pass a
+    materialized feature table (``materialize``): the fit makes many passes."""
     spark = bf.sparkSession
-    data = materialize(bf.withColumnRenamed("churn", "label"), "build_model/features")
+    data = bf.withColumnRenamed("churn", "label")
     train, test, valid = hash_split(data, [0.6, 0.2, 0.2], seed)
     train = train.persist()
     model = churn_pipeline(num_trees=num_trees, seed=seed).fit(train)
