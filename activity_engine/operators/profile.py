@@ -125,8 +125,13 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 
 def timeline(a: DataFrame) -> DataFrame:
-    """O-4: ``datetime, userId`` in time order (a full sort; limit it for previews)."""
-    return a.select(X.event_datetime("ts").alias("datetime"), "userId").orderBy("datetime", "userId")
+    """O-4: ``datetime, userId`` in time order (a full sort; limit it for previews).
+
+    The sort key continues with the event's own ``ts``, session and item, so
+    that a second (or user) holding a large share of the rows still spreads
+    over several range partitions instead of landing in one."""
+    keyed = a.select(X.event_datetime("ts").alias("datetime"), "userId", "ts", "sessionId", "itemInSession")
+    return keyed.orderBy("datetime", "userId", "ts", "sessionId", "itemInSession").select("datetime", "userId")
 
 
 def preview(df: DataFrame, n: int, order_by: list) -> DataFrame:

@@ -961,6 +961,21 @@ def _built_model(spark, d):
     return load_model(dst), report, bf
 
 
+def _served_model(spark, d):
+    """The model the scoring side uses: the one the model job saved for this
+    input (as the reference's app loads the job's output), built if absent."""
+    from ..session import scratch_path
+    from ..sources.schema import load_model
+
+    key = zlib.crc32(d.encode())
+    dst = scratch_path(spark, f"churn_model/{key}")
+    try:
+        model = load_model(dst)
+    except Exception:  # not built yet for this input
+        return _built_model(spark, d)[0], batch_features(spark, d)
+    return model, batch_features(spark, d)
+
+
 @register("build_model")
 def q_build_model(spark, d):
     return _built_model(spark, d)[1]
@@ -970,13 +985,13 @@ def scoring_requests(bf: DataFrame) -> DataFrame:
     """Every user as a request, plus the same requests with a level the model
     never saw (those must come back as -1)."""
     req = SC.requests_from_features(bf, AS_OF)
-    unseen = req.withColumn("request_id", F.col("request_id") + 1).withColumn("level", F.lit("unseen"))
+    unseen = req.withColumn("request_id", F.xxhash64("request_id", F.lit("unseen"))).withColumn("level", F.lit("unseen"))
     return req.unionByName(unseen)
 
 
 @register("score_batch")
 def q_score_batch(spark, d):
-    model, _, bf = _built_model(spark, d)
+    model, bf = _served_model(spark, d)
     return SC.score_requests(model, scoring_requests(bf), AS_OF)
 
 
@@ -985,7 +1000,7 @@ def q_score_stream(spark, d):
     from ..session import scratch_path
     from ..streaming.scoring import start_scoring
 
-    model, _, bf = _built_model(spark, d)
+    model, bf = _served_model(spark, d)
     base = scratch_path(spark, f"score_stream/{zlib.crc32(d.encode())}")
     source, sink, ckpt = f"{base}/requests", f"{base}/scored", f"{base}/checkpoint"
     scoring_requests(bf).write.mode("overwrite").parquet(source)
@@ -997,3 +1012,45 @@ def q_score_stream(spark, d):
     q = start_scoring(model, spark, source, sink, ckpt, AS_OF, available_now=True)
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+# ---------------------------------------------------------------- SQL over a registered view, filters
+
+
+@register(
+    "sql_users_by_level",
+    sql("SELECT level, count(DISTINCT userId) AS count_users FROM clean GROUP BY level", *CLEAN_CTES),
+)
+def q_sql_users_by_level(spark, d):
+    """S-4 + the SQL API: the notebook's query text over a registered view."""
+    from ..sources.schema import register as register_view
+
+    register_view(clean(spark, d), "activity")
+    return spark.sql(
+        "SELECT level, count(DISTINCT userId) AS count_users FROM activity GROUP BY level ORDER BY count_users DESC, level"
+    )
+
+
+@register("sql_length_values", sql("SELECT length FROM clean", *CLEAN_CTES))
+def q_sql_length_values(spark, d):
+    """P-13: plain projection through SQL (the data behind the length plot)."""
+    from ..sources.schema import register as register_view
+
+    register_view(clean(spark, d), "activity")
+    return spark.sql("SELECT length FROM activity")
+
+
+@register("plays", sql("SELECT userId, ts, song, artist, length FROM clean WHERE page = 'NextSong'", *CLEAN_CTES))
+def q_plays(spark, d):
+    """P-3: events of one page."""
+    return CL.events_on(clean(spark, d), X.PLAY_PAGE).select("userId", "ts", "song", "artist", "length")
+
+
+@register(
+    "churned_events",
+    sql("SELECT userId, ts, page FROM clean JOIN labels USING (userId) WHERE churn = 1", *LABEL_CTES),
+)
+def q_churned_events(spark, d):
+    """P-5: rows of churned users (label joined back, then the flag filter)."""
+    a = clean(spark, d).select("userId", "ts", "page")
+    return CL.churned_events(CH.with_churn(a, "churn")).select("userId", "ts", "page")

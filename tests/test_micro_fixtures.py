@@ -134,3 +134,16 @@ def test_histogram_clamps_max_into_last_bin(spark):
     df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (None,)], "x double")
     got = [(r.bin, r.n) for r in PR.histogram(df, "x", 2).collect()]
     assert got == [(0, 1), (1, 2)]
+
+
+def test_explore_report_tables(spark):
+    from activity_engine.plans.report import explore, scaled
+    from tests.conftest import SMALL
+    from activity_engine.sources.fixtures import activity
+
+    rep = explore(activity(spark, SMALL))
+    assert rep["row_count"].first().n_events == 1000
+    assert rep["churn_counts"].count() == 2
+    sc = scaled({k: v for k, v in rep.items() if k in ("events_by_churn_hour", "churn_by_state")})
+    assert set(sc) == {"scaled_hour", "scaled_state"}
+    assert sc["scaled_hour"].filter("scaled < 0 OR scaled > 1").count() == 0
