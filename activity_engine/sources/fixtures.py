@@ -43,8 +43,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def clear_tables() -> None:
-    """Forget the table handles (after the files were rewritten)."""
+    """Forget the table and view handles (after the files were rewritten)."""
     _TABLES.clear()
+    _VIEWS.clear()
 
 
 def _page(event_type: Column, k: Column) -> Column:
@@ -67,9 +68,22 @@ def _location() -> Column:
     )
 
 
+_VIEWS: dict[tuple[str, str], DataFrame] = {}
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw activity log (blank users included), columns as ACTIVITY_COLUMNS."""
+    """The raw activity log (blank users included), columns as ACTIVITY_COLUMNS.
+
+    A lazy plan, analysed once per session and directory and then shared by
+    every query built on it (like a registered view)."""
     prepare(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VIEWS:
+        _VIEWS[key] = _build_activity(spark, sf_dir)
+    return _VIEWS[key]
+
+
+def _build_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     ev = ev.withColumn("k", F.regexp_extract("props", r"([0-9]+)", 1).cast("int"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
