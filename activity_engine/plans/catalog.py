@@ -8,6 +8,7 @@ so that the comparison does not hinge on summation order.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -1001,14 +1002,10 @@ def q_score_stream(spark, d):
     from ..streaming.scoring import start_scoring
 
     model, bf = _served_model(spark, d)
-    base = scratch_path(spark, f"score_stream/{zlib.crc32(d.encode())}")
+    # a fresh folder per run: the stream's sink and checkpoint start empty
+    base = scratch_path(spark, f"score_stream/{zlib.crc32(d.encode())}/{uuid.uuid4().hex}")
     source, sink, ckpt = f"{base}/requests", f"{base}/scored", f"{base}/checkpoint"
     scoring_requests(bf).write.mode("overwrite").parquet(source)
-    import shutil
-
-    for p in (sink, ckpt):
-        if "://" not in p:
-            shutil.rmtree(p, ignore_errors=True)
     q = start_scoring(model, spark, source, sink, ckpt, AS_OF, available_now=True)
     q.awaitTermination()
     return spark.read.parquet(sink)

@@ -30,17 +30,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there).  Only when nothing is configured, as in local tests, a scratch
-    folder is created and registered.
+    there; Spark registers it as the context's checkpoint folder).  Only
+    when nothing is configured, as in local tests, a scratch folder is
+    created and registered with the context (``spark.checkpoint.dir`` is a
+    core setting and cannot be changed on a running session).
     """
+    ctx = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="activity-engine-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if path:
+        if not ctx.getCheckpointDir():
+            ctx.setCheckpointDir(path)
+        return path
+    if ctx.getCheckpointDir():
+        return ctx.getCheckpointDir()
+    path = tempfile.mkdtemp(prefix="activity-engine-ckpt-")
+    ctx.setCheckpointDir(path)
+    return ctx.getCheckpointDir() or path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,10 +12,10 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from activity_engine.session import local_session
 
+    from activity_engine.session import checkpoint_dir
+
     s = local_session(cores=4, app="activity-engine-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        # tests only: no cluster folder is configured, use a scratch one
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ae-test-ckpt-"))
+    checkpoint_dir(s)  # the configured folder, or a scratch one in tests only
     yield s
     s.stop()
 
