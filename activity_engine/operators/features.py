@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..sources.schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES, PIVOT_PAGES
 from .churn import LATEST_ORDER, cancel_flag
-from .clean import after_noon_hour, clean_events, in_first_half_of_month
+from .clean import after_noon_hour, clean_events, in_first_half_of_month, row_sum
 
 
 def _is(page: str) -> Column:
@@ -155,9 +155,7 @@ def page_pivot(a: DataFrame, pages: list[str] = PIVOT_PAGES, total: str | None =
     conditional counts: one partial aggregate and no pivot values job.
     """
     g = a.groupBy("userId").agg(*[F.count_if(_is(p)).alias(p) for p in pages])
-    if total:
-        g = g.withColumn(total, functools.reduce(operator.add, [F.col(f"`{p}`") for p in pages]))
-    return g
+    return row_sum(g, pages, total) if total else g
 
 
 def play_counts(a: DataFrame) -> DataFrame:

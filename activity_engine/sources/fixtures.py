@@ -85,7 +85,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _build_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    ev = ev.withColumn("k", F.regexp_extract("props", r"([0-9]+)", 1).cast("int"))
+    ev = ev.withColumn("k", F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")

@@ -147,3 +147,25 @@ def test_explore_report_tables(spark):
     sc = scaled({k: v for k, v in rep.items() if k in ("events_by_churn_hour", "churn_by_state")})
     assert set(sc) == {"scaled_hour", "scaled_state"}
     assert sc["scaled_hour"].filter("scaled < 0 OR scaled > 1").count() == 0
+
+
+def test_user_without_evening_events_absent_from_hour_share(spark):
+    a = events(spark, {"userId": "x", "ts": T0 + 9 * 3_600_000}, {"userId": "y"})
+    got = {r.userId for r in FE.share_of_events(a, CL.after_noon_hour(), "h").collect()}
+    assert got == {"y"}
+    assert {r.userId for r in FE.numerical_features(a).collect()} == {"y"}
+    assert {r.userId for r in FE.numerical_features(a, keep_silent=True).collect()} == {"x", "y"}
+
+
+def test_map_values_cast_columns_and_row_sum(spark):
+    df = spark.createDataFrame([("F", "1", "2"), ("M", "x", "3")], "g string, a string, b string")
+    out = CL.cast_columns(CL.map_values(df, "g", {"F": "0", "M": "1"}), {"a": "int", "b": "int"}, safe=True)
+    out = CL.row_sum(out.fillna(0), ["a", "b"], "s")
+    assert [(r.g, r.a, r.s) for r in out.orderBy("g").collect()] == [("0", 1, 3), ("1", 0, 3)]
+
+
+def test_requests_df_schema(spark):
+    from activity_engine.sources.schema import REQUEST_SCHEMA, requests_df
+
+    df = requests_df(spark, [(1, "male", "10.5", "3.0", "2", "1", "0", "2018-08-19", "paid", "CA")])
+    assert df.schema == REQUEST_SCHEMA and df.count() == 1

@@ -64,3 +64,9 @@ def test_rule_predictions_metric_query_runs(spark):
 @pytest.mark.parametrize("name", ["model_logistic", "score_stream"])
 def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_random_split_complete(spark):
+    df = spark.range(500)
+    parts = ML.random_split(df, [0.8, 0.2], 0)
+    assert sum(p.count() for p in parts) == 500
