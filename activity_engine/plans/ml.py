@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.schema import save_model
 from ..sources.schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
 
 BATCH_CATEGORICAL = ["gender", "last_level", "last_state"]
@@ -284,8 +285,7 @@ def build_churn_model(bf: DataFrame, seed: int = 42, num_trees: int = 100, dst:
     model = churn_pipeline(num_trees=num_trees, seed=seed).fit(train)
     report = evaluate_splits(model, data)
     if dst:
-        writer = model.write()
-        (writer.overwrite() if overwrite else writer).save(dst)
+        save_model(model, dst, overwrite=overwrite)
     train.unpersist()
     return model, report
 
