@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.schema import save_model
-from ..sources.schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
+from ..sources.schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES, save_model
 
 BATCH_CATEGORICAL = ["gender", "last_level", "last_state"]
 BATCH_INDEXED = ["genderIndex", "levelIndex", "stateIndex"]
@@ -300,7 +299,6 @@ MODEL_SPECS = {
 
 def compare_models(train: DataFrame, valid: DataFrame, names: list[str] | None = None, parallelism: int = 4) -> DataFrame:
     """M-18: cross-validate each model on ``train``, score ``valid``; one row per model."""
-    spark = train.sparkSession
     parts = []
     for name in names or list(MODEL_SPECS):
         make, folds = MODEL_SPECS[name]
@@ -315,7 +313,6 @@ def compare_models(train: DataFrame, valid: DataFrame, names: list[str] | None =
                 F.col("weighted_f1").alias("valid_f1"),
             )
         )
-    _ = spark
     return functools.reduce(DataFrame.unionByName, parts)
 
 
