@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from ..session import checkpoint_dir
+from ..session import materialize
 from .churn import LATEST_ORDER, cancel_flag, churn_labels
 
 
@@ -71,20 +71,19 @@ def scaled_crosstab(ct: DataFrame, category: str, by: str = "churn", count: str
     """A-12: complete the category x class grid with 0, min-max scale the
     counts within each class, and keep rows with a defined value.
 
-    The grid is a pivot on the two classes (not a cross join), checkpointed;
-    the per-class min and max are scalar subqueries over it, each a single
-    value.  A class whose
+    The grid is a pivot on the two classes (not a cross join), written once
+    to the shared folder; the per-class min and max are scalar subqueries
+    over it, each a single value.  A class whose
     counts are all equal has no range and drops out (T-16).
     """
     classes = [0, 1]
     wide = ct.groupBy(category).agg(
         *[F.sum(F.when(F.col(by) == k, F.col(count)).otherwise(F.lit(0))).alias(f"_c{k}") for k in classes]
     )
-    # One row per category: written to the shared checkpoint folder so that
-    # the min/max subqueries and the main query read it instead of each
-    # re-running the event scan and the per-user aggregate behind it.
-    checkpoint_dir(ct.sparkSession)
-    wide = wide.checkpoint(eager=True)
+    # One row per category: written once to the shared folder so that the
+    # min/max subqueries and the main query read it instead of each re-running
+    # the event scan and the per-user aggregate behind it.
+    wide = materialize(wide, "scaled_crosstab")
     scaled = []
     for k in classes:
         lo = wide.agg(F.min(f"_c{k}")).scalar()

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import materialize
 from ..sources.schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES, PIVOT_PAGES
 from .churn import LATEST_ORDER, cancel_flag
 from .clean import after_noon_hour, clean_events, in_first_half_of_month, row_sum
@@ -117,11 +118,24 @@ def _distinct_with_null(value: str, rows: Column) -> Column:
     return F.count_distinct(F.when(rows, F.col(value))) + F.max(F.when(rows & F.col(value).isNull(), 1).otherwise(0))
 
 
-def user_aggregates(a: DataFrame, pages: list[str] = PIVOT_PAGES) -> DataFrame:
+def category_sets() -> list[Column]:
+    """Per-user sets of the four categorical values (a few values each): the
+    union over users is the set over all events, so the label dictionary can
+    be fitted on the per-user table instead of a second scan of the events."""
+    return [
+        F.collect_set("gender").alias("_set_gender"),
+        F.collect_set("level").alias("_set_level"),
+        F.collect_set(X.browser("userAgent")).alias("_set_browser"),
+        F.collect_set(X.platform("userAgent")).alias("_set_platform"),
+    ]
+
+
+def user_aggregates(a: DataFrame, pages: list[str] = PIVOT_PAGES, sets: bool = False) -> DataFrame:
     """One row per user with every notebook aggregate (cleaned input)."""
     play = _is(X.PLAY_PAGE)
     last = F.max(F.struct(*[F.col(c) for c in LATEST_ORDER], *[F.col(c) for c in ["gender", "level", "userAgent"]]))
     return a.groupBy("userId").agg(
+        *(category_sets() if sets else []),
         F.avg("length").alias("average_length"),
         F.stddev_samp("length").alias("stddev_length"),
         F.max("length").alias("max_length"),
@@ -179,14 +193,18 @@ def share_of_events(a: DataFrame, predicate: Column, out: str) -> DataFrame:
     return g.filter(F.col("_hit") > 0).select("userId", (F.col("_hit") / F.col("_all")).alias(out))
 
 
-def numerical_features(a: DataFrame, keep_silent: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+def numerical_features(a: DataFrame, keep_silent: bool = False) -> DataFrame:
     """C-4: userId + the 18 numerical features.
 
     Users without plays, without events on days 1-15 or without events
     after 12h are dropped like the reference's inner joins (T-3, T-4),
     unless ``keep_silent``.
     """
-    g = user_aggregates(clean_events(a))
+    return numerical_projection(user_aggregates(clean_events(a)), keep_silent)
+
+
+def numerical_projection(g: DataFrame, keep_silent: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The 18 numerical features from a ``user_aggregates`` table."""
     if not keep_silent:
         g = g.filter((F.col("total_songs") > 0) & (F.col("day_count") > 0) & (F.col("hourofday_count") > 0))
     pages_sum = functools.reduce(operator.add, [F.col(f"`{p}`") for p in PIVOT_PAGES])
@@ -237,6 +255,20 @@ def fit_label_codes(a: DataFrame, cols: list[str] = CATEGORICAL_FEATURES):
     return indexer.fit(events)
 
 
+def fit_label_codes_from_sets(users: DataFrame, cols: list[str] = CATEGORICAL_FEATURES):
+    """M-6 dictionary fitted on per-user value sets (``category_sets``): same
+    labels as ``fit_label_codes`` over the events, without reading them."""
+    parts = [
+        users.select(*[(F.explode(f"_set_{c}") if o == c else F.lit(None).cast("string")).alias(o) for o in cols])
+        for c in cols
+    ]
+    values = functools.reduce(DataFrame.unionByName, parts)
+    indexer = StringIndexer(
+        inputCols=cols, outputCols=[f"_{c}_code" for c in cols], stringOrderType="alphabetAsc", handleInvalid="keep"
+    )
+    return indexer.fit(values)
+
+
 def label_dictionary(a: DataFrame, cols: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
     """M-6: the code table (column, value, code) of a fitted label encoding."""
     model = fit_label_codes(a, cols)
@@ -259,22 +291,30 @@ def apply_label_codes(model, df: DataFrame, cols: list[str] = CATEGORICAL_FEATUR
 
 
 def categorical_features(a: DataFrame) -> DataFrame:
-    """C-3: userId + gender, level, browser, platform codes at the last event."""
-    clean = clean_events(a)
+    """C-3: userId + gender, level, browser, platform codes at the last event.
+
+    One aggregate per user (last event and the value sets), written once to
+    the shared folder; the dictionary is fitted on it and it is encoded: one
+    scan of the events.
+    """
     last = F.max(F.struct(*[F.col(c) for c in LATEST_ORDER], "gender", "level", "userAgent"))
-    users = with_categories(clean.groupBy("userId").agg(last.alias("last")))
-    return apply_label_codes(fit_label_codes(clean), users).select("userId", *CATEGORICAL_FEATURES)
+    users = materialize(clean_events(a).groupBy("userId").agg(last.alias("last"), *category_sets()), "user_categories")
+    coded = apply_label_codes(fit_label_codes_from_sets(users), with_categories(users))
+    return coded.select("userId", *CATEGORICAL_FEATURES)
 
 
 def training_set(a: DataFrame, keep_silent: bool = False) -> DataFrame:
     """C-5: userId, 4 int codes, 18 float features, Churn; nulls to 0.
 
-    Categorical, numerical and label parts come from the same per-user
-    aggregate, so no join is needed between them.
+    Categorical, numerical and label parts come from one per-user aggregate,
+    so no join is needed between them.  That table is written once to the
+    shared folder (it is read twice: by the dictionary fit over every user,
+    and by the encoding of the kept users), so the events are scanned once.
     """
-    clean = clean_events(a)
-    num = with_categories(numerical_features(clean, keep_silent, extra=("Churn", "last")))
-    coded = apply_label_codes(fit_label_codes(clean), num)
+    users = materialize(user_aggregates(clean_events(a), sets=True), "user_aggregates")
+    codes = fit_label_codes_from_sets(users)
+    num = with_categories(numerical_projection(users, keep_silent, extra=("Churn", "last")))
+    coded = apply_label_codes(codes, num)
     out = coded.select(
         "userId",
         *[F.col(c).cast("int").alias(c) for c in CATEGORICAL_FEATURES],

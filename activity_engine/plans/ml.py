@@ -24,7 +24,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize as write_once
 from ..sources.schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES, save_model
 
 BATCH_CATEGORICAL = ["gender", "last_level", "last_state"]
@@ -34,10 +34,9 @@ BATCH_NUMERIC = ["days_active", "avg_songs", "avg_events", "thumbs_up", "thumbs_
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the shared checkpoint folder, read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write ``df`` once as parquet under the shared checkpoint folder (a fresh
+    folder per call) and read it back."""
+    return write_once(df, name)
 
 
 # ---------------------------------------------------------------- transforms

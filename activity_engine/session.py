@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
 
@@ -76,3 +77,15 @@ def local_session(cores: int = 8, app: str = "activity-engine", **extra: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
+
+
+def materialize(df: DataFrame, name: str = "table", unique: bool = True) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read
+    it back: the plan runs once, later readers see a table with no lineage
+    behind it (a lost executor costs a re-read).  ``unique`` gives every call
+    its own folder, so a lazily read result is never overwritten by a later
+    call."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}" if unique else name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
