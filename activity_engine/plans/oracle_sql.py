@@ -56,9 +56,9 @@ clean AS (
   SELECT *,
     make_timestamp(ts * 1000) AS t,
     strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS date,
-    hour(make_timestamp(ts * 1000)) AS hour,
-    day(make_timestamp(ts * 1000)) AS day,
-    dayofweek(make_timestamp(ts * 1000)) AS weekday
+    CAST(hour(make_timestamp(ts * 1000)) AS INTEGER) AS hour,
+    CAST(day(make_timestamp(ts * 1000)) AS INTEGER) AS day,
+    CAST(dayofweek(make_timestamp(ts * 1000)) AS INTEGER) AS weekday
   FROM activity WHERE userId <> ''
 )"""
 
