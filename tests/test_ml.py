@@ -82,3 +82,19 @@ def test_model_job_from_json_log(spark, tmp_path):
     assert set(report) == {"train", "test", "validation"}
     assert sum(r.n for r in report.values()) == 15
     assert set(SC.known_categories(ML.load_pipeline(dst))) == {"gender", "last_level", "last_state"}
+
+
+def test_stream_restart_scores_only_new_files(spark, tmp_path):
+    from activity_engine.streaming.scoring import start_scoring
+
+    bf = batch_features(spark, SMALL)
+    model, _ = ML.build_churn_model(bf, seed=3, num_trees=5)
+    req = SC.requests_from_features(bf, "2025-01-01")
+    src, sink, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    req.limit(5).write.parquet(src + "/batch1")
+    start_scoring(model, spark, src + "/*", sink, ckpt, "2025-01-01", available_now=True).awaitTermination()
+    first = spark.read.parquet(sink).count()
+    req.write.parquet(src + "/batch2")
+    start_scoring(model, spark, src + "/*", sink, ckpt, "2025-01-01", available_now=True).awaitTermination()
+    assert first == 5
+    assert spark.read.parquet(sink).count() == 5 + req.count()
