@@ -128,7 +128,7 @@ def q_json_event_log(spark, d):
     from ..session import scratch_path
     from ..sources.schema import ACTIVITY_COLUMNS, read_events
 
-    path = scratch_path(spark, f"json_event_log/{zlib.crc32(d.encode())}")
+    path = scratch_path(spark, f"json_event_log/{zlib.crc32(d.encode())}/{uuid.uuid4().hex}")
     raw(spark, d).write.mode("overwrite").json(path)
     return CL.clean_events(read_events(spark, path, "json")).select(*ACTIVITY_COLUMNS)
 
@@ -746,7 +746,7 @@ def q_feature_round_trip(spark, d):
     from ..session import scratch_path
     from ..sources.schema import read_features, write_features
 
-    path = scratch_path(spark, f"training_set/{zlib.crc32(d.encode())}")
+    path = scratch_path(spark, f"training_set/{zlib.crc32(d.encode())}/{uuid.uuid4().hex}")
     write_features(FE.training_set(raw(spark, d)), path, "json")
     return read_features(spark, path, "json")
 
@@ -949,6 +949,9 @@ def q_model_comparison(spark, d):
     return ML.compare_models(train, valid)
 
 
+MODEL_VERSION = "v1"  # bump when the pipeline's stages change
+
+
 def _built_model(spark, d):
     """C-7 on the batch features: the fitted pipeline is saved to the shared
     folder (S-5) and loaded back (S-6) as the scoring service would."""
@@ -957,7 +960,7 @@ def _built_model(spark, d):
 
     key = zlib.crc32(d.encode())
     bf = ML.materialize(batch_features(spark, d), f"behaviour_features/{key}")
-    dst = scratch_path(spark, f"churn_model/{key}")
+    dst = scratch_path(spark, f"churn_model/{MODEL_VERSION}/{key}")
     _, report = ML.build_churn_model(bf, seed=42, dst=dst)
     return load_model(dst), report, bf
 
@@ -969,7 +972,7 @@ def _served_model(spark, d):
     from ..sources.schema import load_model
 
     key = zlib.crc32(d.encode())
-    dst = scratch_path(spark, f"churn_model/{key}")
+    dst = scratch_path(spark, f"churn_model/{MODEL_VERSION}/{key}")
     try:
         model = load_model(dst)
     except Exception:  # not built yet for this input
