@@ -849,8 +849,9 @@ _SCALED_COLS_SQL = ", ".join(
     sql(f"SELECT userId, CAST(Churn AS DOUBLE) AS label, {_SCALED_COLS_SQL} FROM train, st", *TRAIN_CTES, _STATS_SQL),
 )
 def q_scaled_features(spark, d):
-    t = ML.materialize(FE.training_set(raw(spark, d)), f"training_set/{zlib.crc32(d.encode())}")
-    t = ML.scaled_training_set(t, keep_key=True)
+    # training_set already reads a per-user table written once; what remains
+    # is a projection and an encoding, cheap to repeat for the scaler's passes
+    t = ML.scaled_training_set(FE.training_set(raw(spark, d)), keep_key=True)
     arr = ML.vector_to_array("features")
     return t.select(
         "userId",
@@ -899,9 +900,10 @@ def q_hash_split(spark, d):
 
 
 def notebook_split(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Scaled (label, features) table written to the shared folder, split 80/20."""
-    t = ML.materialize(FE.training_set(raw(spark, d)), f"training_set/{zlib.crc32(d.encode())}")
-    t = ML.scaled_training_set(t, keep_key=True)
+    """Scaled (label, features) table, split 80/20 by user hash.  The training
+    table reads the per-user table that ``training_set`` wrote once, so CV
+    folds and grid points do not go back to the events."""
+    t = ML.scaled_training_set(FE.training_set(raw(spark, d)), keep_key=True)
     train, valid = ML.hash_split(t, [0.8, 0.2], 0)
     return train, valid
 
