@@ -169,3 +169,13 @@ def test_requests_df_schema(spark):
 
     df = requests_df(spark, [(1, "male", "10.5", "3.0", "2", "1", "0", "2018-08-19", "paid", "CA")])
     assert df.schema == REQUEST_SCHEMA and df.count() == 1
+
+
+def test_users_by_approx_close_to_exact(spark):
+    from activity_engine.sources.fixtures import activity
+
+    a = CL.clean_events(activity(spark, "/root/testdata/sf0.01"))
+    exact = {r.location: r.count_users for r in PR.users_by(a, ["location"]).collect()}
+    approx = {r.location: r.count_users for r in PR.users_by(a, ["location"], approx=True).collect()}
+    assert set(exact) == set(approx)
+    assert all(abs(approx[k] - exact[k]) <= max(1, 0.05 * exact[k]) for k in exact)
