@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Page names of the event log the engine keys on.
 CANCELLATION_PAGE = "Cancellation Confirmation"
 PLAY_PAGE = "NextSong"
 THUMBS_UP_PAGE = "Thumbs Up"

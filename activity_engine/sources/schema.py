@@ -69,6 +69,7 @@ BEHAVIOUR_SCHEMA = T.StructType(
 
 # Notebook feature table (C-5): key, 4 categorical codes, 18 numbers, label.
 CATEGORICAL_FEATURES = ["gender", "level", "browser", "platform"]
+# The pages counted per user, in feature order.
 PIVOT_PAGES = [
     "NextSong",
     "Thumbs Up",
