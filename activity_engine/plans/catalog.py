@@ -762,6 +762,13 @@ def batch_features(spark, d) -> DataFrame:
     return FE.behaviour_features(raw(spark, d), AS_OF)
 
 
+def written_batch_features(spark, d) -> DataFrame:
+    """The batch feature table written once to the shared folder, for ML
+    stages that fit and then transform (each pass would otherwise re-run the
+    feature job over the events)."""
+    return ML.materialize(batch_features(spark, d), f"behaviour_features/{zlib.crc32(d.encode())}")
+
+
 def _index_sql(col: str, alias: str) -> str:
     return (
         f"{alias} AS (SELECT {col} AS v, row_number() OVER (ORDER BY count(*) DESC, {col}) - 1 AS idx, "
@@ -786,7 +793,7 @@ ML_CTES = (*BF_CTES, INDEX_SQL, VEC_SQL)
     ),
 )
 def q_indexed_categories(spark, d):
-    return ML.index_categories(batch_features(spark, d)).select("userId", *ML.BATCH_INDEXED)
+    return ML.index_categories(written_batch_features(spark, d)).select("userId", *ML.BATCH_INDEXED)
 
 
 @register(
@@ -799,7 +806,7 @@ def q_indexed_categories(spark, d):
     ),
 )
 def q_one_hot_slots(spark, d):
-    enc = ML.one_hot(batch_features(spark, d))
+    enc = ML.one_hot(written_batch_features(spark, d))
     cols = {}
     for name, vec in zip(["gender", "level", "state"], ML.BATCH_ONE_HOT):
         arr = ML.vector_to_array(vec)
@@ -825,7 +832,7 @@ _L1_PARTS = [("1", "g"), ("1", "ng + l"), ("1", "ng + nl + s")] + [
     ),
 )
 def q_l1_features(spark, d):
-    entries = ML.nonzero_entries(ML.l1_features(batch_features(spark, d)), "features")
+    entries = ML.nonzero_entries(ML.l1_features(written_batch_features(spark, d)), "features")
     return entries.withColumn("value", F.round("value", 9))
 
 
@@ -961,7 +968,7 @@ def _built_model(spark, d):
     from ..sources.schema import load_model
 
     key = zlib.crc32(d.encode())
-    bf = ML.materialize(batch_features(spark, d), f"behaviour_features/{key}")
+    bf = written_batch_features(spark, d)
     dst = scratch_path(spark, f"churn_model/{MODEL_VERSION}/{key}")
     _, report = ML.build_churn_model(bf, seed=42, dst=dst)
     return load_model(dst), report, bf

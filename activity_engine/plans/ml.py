@@ -73,8 +73,9 @@ def index_categories(df: DataFrame, invalid: str = "skip") -> DataFrame:
 
 
 def one_hot(df: DataFrame) -> DataFrame:
-    """M-1 + M-2 applied on a batch feature table."""
-    return one_hot_encoder().fit(index_categories(df)).transform(index_categories(df))
+    """M-1 + M-2 applied on a batch feature table (the indexer is fitted once)."""
+    indexed = index_categories(df)
+    return one_hot_encoder().fit(indexed).transform(indexed)
 
 
 def batch_feature_stages() -> list:
