@@ -18,9 +18,10 @@ def plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", PLAN_QUERIES)
-def test_no_cartesian_or_nested_loop_join(spark, name):
+def test_no_cartesian_join_and_no_python_in_plan(spark, name):
     p = plan(entry.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+    assert "EvalPython" not in p and "PythonUDF" not in p, name
 
 
 def test_behaviour_features_two_user_shuffles_with_partials(spark):
