@@ -270,16 +270,15 @@ def fit_label_codes_from_sets(users: DataFrame, cols: list[str] = CATEGORICAL_FE
 
 
 def label_dictionary(a: DataFrame, cols: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
-    """M-6: the code table (column, value, code) of a fitted label encoding."""
+    """M-6: the code table (column, value, code) of a fitted label encoding.
+
+    The distinct value combinations are coded once and turned into rows with
+    ``stack`` (one pass, no union of per-column branches)."""
     model = fit_label_codes(a, cols)
     coded = model.transform(category_columns(a, cols).distinct())
-    parts = [
-        coded.filter(F.col(c).isNotNull()).select(
-            F.lit(c).alias("column"), F.col(c).alias("value"), F.col(f"_{c}_code").cast("int").alias("code")
-        )
-        for c in cols
-    ]
-    return functools.reduce(DataFrame.union, parts).distinct()
+    pairs = ", ".join(f"'{c}', `{c}`, CAST(`_{c}_code` AS INT)" for c in cols)
+    long = coded.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, value, code)")
+    return long.filter(F.col("value").isNotNull()).distinct()
 
 
 def apply_label_codes(model, df: DataFrame, cols: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
