@@ -9,6 +9,7 @@ session the caller hands us: the cluster's own sizing wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there; Spark registers it as the context's checkpoint folder).  Only
-    when nothing is configured, as in local tests, a scratch folder is
-    created and registered with the context (``spark.checkpoint.dir`` is a
-    core setting and cannot be changed on a running session).
+    there).  Where it is unset, a scratch folder is made, but only when the
+    master is local (tests, bench): on a cluster a machine-local folder would
+    lose rows on the read back, so an unset key raises there.
     """
     ctx = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,11 +44,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return path
     if ctx.getCheckpointDir():
         return ctx.getCheckpointDir()
+    require_local(ctx.master)
     path = tempfile.mkdtemp(prefix="activity-engine-ckpt-")
     ctx.setCheckpointDir(path)
     return ctx.getCheckpointDir() or path
 
 
+def require_local(master: str) -> None:
+    """Raise unless ``master`` runs driver and executors in one process."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark)
@@ -89,3 +96,51 @@ def materialize(df: DataFrame, name: str = "table", unique: bool = True) -> Data
     path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}" if unique else name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written folder through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Written intermediate tables of one operator call.
+
+    ``table`` writes a frame once under the shared folder and reads it back;
+    leaving the ``with`` block deletes every table but those of ``keep``
+    (what the returned frame still reads).
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+        self._written: dict[str, str] = {}
+        self._kept: set[str] = set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for name, path in self._written.items():
+            if name not in self._kept:
+                delete_path(self.spark, path)
+
+    def path(self, name: str) -> str:
+        """A folder of this call, deleted with its tables."""
+        self._written[name] = f"{self.root}/{name}"
+        return self._written[name]
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self._written[name])
+
+    def drop(self, name: str) -> None:
+        """Delete one table early."""
+        delete_path(self.spark, self._written.pop(name))
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the frame that the operator returns; it outlives the block."""
+        out = self.table(df, name)
+        self._kept.add(name)
+        return out
