@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, substring, toxicity
+from ..session import Scratch
+from . import ann, decontaminate, lmscore, minhash, packing, sharding, substring, tokencount, toxicity, wavelet
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_OF_TEXT = 49407  # the tokenizer's own end-of-document id
+SHARDS = 16
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +25,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document under the counts of all."""
+    scored = lmscore.lm_scores(_read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
 
@@ -27,20 +40,117 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and each document's digest read back from them."""
+    with Scratch(spark, "wavelet_tokens") as scratch:
+        files = wavelet.write_tokens(_read(spark, sf_dir, "documents"), scratch.path("files"), TOKENIZER, end_id=2)
+        return scratch.keep(wavelet.read_digest(scratch.table(files, "manifest")), "result")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by a separator scan of flat files."""
+    return tokencount.token_counts(_read(spark, sf_dir, "documents"), TOKENIZER, END_OF_TEXT)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeat_report(_read(spark, sf_dir, "documents"), min_words=50).drop("repeats")
 
 
+def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(_read(spark, sf_dir, "documents"), [1.0] * SHARDS, added=1.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_best_fit_packing": op1_best_fit_packing,
-    "op3_toxicity": op3_toxicity,
-    "op4_decontamination": op4_decontamination,
-    "op6_minhash": op6_minhash,
-    "op9_substring_dedup": op9_substring_dedup,
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_lm_score,
+        op3_toxicity,
+        op4_decontamination,
+        op5_wavelet_tokens,
+        op6_minhash,
+        op7_nearest,
+        op8_token_counts,
+        op9_substring_dedup,
+        op10_rendezvous,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLES: dict[str, str] = {
+    "op2_lm_score": f"""
+        WITH split AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS ws FROM documents),
+        words AS (SELECT doc_id, unnest(ws) AS w, unnest(list_concat([NULL], ws[:-2])) AS before FROM split WHERE len(ws) > 0),
+        one AS (SELECT w, count(*) AS n FROM words GROUP BY w),
+        two AS (SELECT before, w, count(*) AS n FROM words WHERE before IS NOT NULL GROUP BY before, w),
+        total AS (SELECT count(*) AS n FROM words),
+        scores AS (
+            SELECT words.doc_id,
+                CASE
+                    WHEN words.before IS NULL THEN ln(one.n / total.n)
+                    WHEN two.n >= 2 THEN ln(two.n / ctx.n)
+                    ELSE ln(0.4) + ln(one.n / total.n)
+                END AS s
+            FROM words JOIN one ON one.w = words.w CROSS JOIN total
+            LEFT JOIN two ON two.before = words.before AND two.w = words.w
+            LEFT JOIN one AS ctx ON ctx.w = words.before
+        ),
+        sums AS (SELECT doc_id, sum(s) AS s FROM scores GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 6) AS log_score,
+            round(s / nullif(len(ws), 0), 6) AS mean_log_score
+        FROM split LEFT JOIN sums USING (doc_id)
+    """,
+    "op6_minhash": f"""
+        WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS ws FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM split WHERE len(ws) > 0)
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+        ),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (
+            SELECT doc_id AS node, doc_id AS seen FROM documents
+            UNION
+            SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.seen
+        ),
+        least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+        SELECT split.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, component_id = split.doc_id AS kept
+        FROM split LEFT JOIN sizes USING (doc_id) JOIN least ON least.node = split.doc_id
+    """,
+    "op9_substring_dedup": f"""
+        WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+        windows AS (
+            SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM split WHERE len(ws) >= 50)
+        ),
+        lows AS (SELECT h, min(doc_id) AS lo FROM windows GROUP BY h),
+        marks AS (SELECT doc_id, i FROM windows JOIN lows USING (h) WHERE doc_id > lo),
+        words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM split),
+        state AS (
+            SELECT words.doc_id, words.w, words.i,
+                coalesce(words.i - max(marks.i) OVER (PARTITION BY words.doc_id ORDER BY words.i) < 50, false) AS gone
+            FROM words LEFT JOIN marks ON marks.doc_id = words.doc_id AND marks.i = words.i
+        ),
+        kept AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS text
+            FROM state GROUP BY doc_id
+        )
+        SELECT split.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (doc_id)
+    """,
+}
