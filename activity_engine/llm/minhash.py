@@ -8,12 +8,13 @@ Candidates whose signatures agree too little are dropped (bound 4.5 standard
 deviations below the threshold), the others are confirmed on their full sets,
 and the confirmed links go to alternating large-star and small-star.
 
-No bucket is expanded into all pairs.  Round one links each bucket's members
-to its smallest id only.  After the components of those links, round two
-looks at buckets that still hold several components and compares, in numpy
-and in blocks, members of different components; members already connected
-need no comparison, so no link that could change a component is left out.
-With 28 bands of 4 minima a pair at similarity 0.8 shares no band with
+No bucket is expanded into pairs.  Round one links each bucket's members to
+its smallest id only.  Round two takes the families (documents connected by
+buckets) that still hold several components and compares their members in
+numpy, block by block, confirming on the full sets in the task: only pairs of
+different components that share a band are looked at, and what comes out is
+at most one link for each component.  Members already connected need no
+comparison, so no link that could change a component is left out.  With 28 bands of 4 minima a pair at similarity 0.8 shares no band with
 probability 4e-7.
 
 Cases: null or blank text and texts without words have ``n_shingles`` 0, link
@@ -41,7 +42,8 @@ from .words import mix, ragged, run_hash, slices, split_words
 
 MINIMA, BANDS = 112, 28
 ROWS = MINIMA // BANDS
-BLOCK = 2048  # members of a bucket that are compared in one task at once
+BLOCK = 2048  # members of a family that are compared in one task at once
+BLOCK_BYTES = 16 << 20  # and bytes of their sets
 
 _RANDOM = np.random.default_rng(6)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,7 +105,7 @@ def _sets(size: int, wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keep = batch.filter(pa.array(bitmap.contains(wanted.value, ids.astype(np.int64))))
-            for part in slices(keep, "text", 1 << 20):
+            for part in slices(keep, "text"):
                 grams = [g.tobytes() for g in shingle_sets(part.column("text"), size)]
                 yield pa.record_batch([part.column("doc_id"), pa.array(grams, pa.binary())], ["id", "grams"])
 
@@ -120,42 +122,54 @@ def _agreeing(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Are two sorted sets at least ``percent`` similar?"""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or len(x) * 100 < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                # the smaller set looked up in the larger, both sorted
-                if len(x) > len(y):
-                    x, y = y, x
-                both = 0
-                if len(x) * 100 >= percent * len(y) and len(x):
-                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            pairs = zip(batch.column("grams_a"), batch.column("grams_b"), strict=True)
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _cross_block(least: int) -> Callable[[pa.Table], pa.Table]:
-    """Pairs of one block pair of a bucket: members of different components with near signatures."""
+def _join_blocks(least: int, percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between different components of one pair of blocks of a family.
+
+    A pair is looked at if it shares a band and its signatures agree, and
+    confirmed on the full sets; components that a link has joined are one from
+    then on, so at most one link for each component comes out."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, side = (table[c].to_numpy() for c in ("id", "comp", "side"))
+        _, comp = np.unique(comp, return_inverse=True)
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, MINIMA)
+        grams = table["grams"].to_pylist()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
-        out_a, out_b = [], []
+        a, b = [], []
         for i in left:
-            other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side.max() > 0))]
+            other = right if side.max() else right[right > i]
             for at in range(0, len(other), 4096):
                 some = other[at : at + 4096]
-                near = some[(sig[some] == sig[i]).sum(axis=1) >= least]
-                out_a.append(np.full(len(near), ids[i]))
-                out_b.append(ids[near])
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        a, b = cat(out_a), cat(out_b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                some = some[comp[some] != comp[i]]
+                same = sig[some] == sig[i]
+                near = (same.sum(axis=1) >= least) & same.reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)
+                mine = np.frombuffer(grams[i], np.uint64)
+                for j in some[near]:
+                    if comp[j] != comp[i] and _alike(mine, np.frombuffer(grams[j], np.uint64), percent):
+                        a.append(int(ids[i]))
+                        b.append(int(ids[j]))
+                        comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -205,23 +219,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         first = confirm(stars, "links-1")
         joined = scratch.table(components(first, scratch, "first"), "first")
 
-        placed = members.select("bucket", "id").join(joined.withColumnsRenamed({"node": "id"}), "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("comp")
+        family = components(stars, scratch, "family").withColumnsRenamed({"node": "id", "component": "family"})
+        placed = (
+            family.join(joined.withColumnsRenamed({"node": "id"}), "id", "left")
+            .join(sets.select("id", F.length("grams").alias("bytes")), "id")
+            .select("family", "id", F.coalesce("component", "id").alias("comp"), "bytes")
         )
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-        mixed = mixed.filter("lo < hi AND n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        mixed = placed.groupBy("family").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")
+        )
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+        mixed = mixed.filter("lo < hi AND n > 2").select("family", blocks.alias("blocks"))
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        dealt = placed.join(mixed, "bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = placed.join(mixed, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select(
-            "bucket",
+            "family",
             F.least("block", "other").alias("i"),
             F.greatest("block", "other").alias("j"),
             (F.col("block") > F.col("other")).cast("int").alias("side"),
             "id",
             "comp",
-        ).join(reps, "id")
-        cross = dealt.groupBy("bucket", "i", "j").applyInArrow(_cross_block(least), "a long, b long").distinct()
-        second = confirm(cross.join(stars, ["a", "b"], "left_anti"), "links-2")
+        )
+        dealt = dealt.join(reps, "id").join(sets, "id")
+        second = scratch.table(dealt.groupBy("family", "i", "j").applyInArrow(_join_blocks(least, percent), "a long, b long"), "links-2")
         links = first.unionByName(second).unionByName(copies)
         nodes = components(links, scratch, "all")
         out = base.select("doc_id", "n_shingles").join(nodes.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left")
