@@ -1,8 +1,8 @@
 """Substring dedup by seed and extend.
 
 A repeat is a run of at least ``min_words`` words that also starts in a
-document with a smaller id.  Method, three passes over the text and no
-shuffle of texts without repeats:
+document with a smaller id.  Method, a few
+passes over the text and no shuffle of texts without repeats:
 
 1. Seeds.  Runs of ``SEED`` words are winnowed over ``min_words - SEED + 1``
    neighbours: the seed of a run of ``min_words`` words is the least hash
@@ -16,6 +16,9 @@ shuffle of texts without repeats:
    a passage in many documents costs a row for each, not for each pair.
 3. Runs of matching windows are merged into maximal repeats and cut.
 
+Whole copies of a text under a smaller id are found first by two hashes of
+the text: they match throughout and take no part in the other steps.
+
 Cases: null or blank texts have no words and no repeats; equal rows and rows
 with equal ids never count as each other's earlier copy; a null ``doc_id`` is
 not smaller than any and loses nothing; repeats inside one document stay;
@@ -107,7 +110,10 @@ def _windows(min_words: int, seed: int, shared: Broadcast, again: Broadcast | No
 
 
 def covered(n_words: int, starts: np.ndarray, min_words: int) -> np.ndarray:
-    """Which words of a document its matching windows cover (maximal repeats)."""
+    """Which words of a document its matching windows cover (maximal repeats);
+    a start of -1 stands for all windows."""
+    if len(starts) and starts[0] < 0:
+        return np.full(n_words, n_words >= min_words)
     step = np.zeros(n_words + 1, dtype=np.int64)
     np.add.at(step, starts, 1)
     np.add.at(step, starts + min_words, -1)
@@ -183,23 +189,38 @@ def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def _copies(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, key) of the rows whose whole text also stands under a smaller id."""
+    whole = known.select("doc_id", KEY, F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(9), "text").alias("h2"))
+    lows = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    return scratch.table(whole.join(lows, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", KEY).distinct(), "copies")
+
+
 def _marks(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, key of the row, sorted starts of its matching windows)."""
+    """(doc_id, key of the row, starts of its matching windows or [-1] for all)."""
     seed = min(SEED, min_words)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias(KEY))
     known = texts.filter("doc_id IS NOT NULL")
-    seeds = known.select("doc_id", "text").mapInArrow(_seeds(min_words, seed), "seed long, doc_id long")
+    # A copy of a whole text matches throughout, and its original speaks for it.
+    # The bitmap tells most other rows at once, the join the few it confuses.
+    copies = _copies(known, scratch)
+    copied = bitmap.build(copies, KEY)
+    confused = scratch.table(known.mapInArrow(_only(copied, True), known.schema).join(copies, ["doc_id", KEY], "left_anti").select(*known.columns), "confused")
+    own = known.mapInArrow(_only(copied, False), known.schema).unionByName(confused)
+
+    seeds = own.mapInArrow(_seeds(min_words, seed), "seed long, doc_id long")
     common = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     shared = bitmap.build(scratch.table(common.select("seed"), "seeds"), "seed")
 
-    first = known.select("doc_id", "text").mapInArrow(_windows(min_words, seed, shared, None), "w1 long, w2 long, doc_id long")
+    first = own.mapInArrow(_windows(min_words, seed, shared, None), "w1 long, w2 long, doc_id long")
     lows = first.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
     lows = scratch.table(lows, "windows")
     again = bitmap.build(lows, "w1")
-    places = known.mapInArrow(_windows(min_words, seed, shared, again), f"w1 long, w2 long, doc_id long, {KEY} long, start int")
+    places = own.mapInArrow(_windows(min_words, seed, shared, again), f"w1 long, w2 long, doc_id long, {KEY} long, start int")
     later = places.join(lows, ["w1", "w2"]).filter("doc_id > lo")
     # equal rows make equal marks: a set, at most one entry a word of the text
-    return scratch.table(later.groupBy("doc_id", KEY).agg(F.collect_set("start").alias(STARTS)), "marks")
+    marks = later.groupBy("doc_id", KEY).agg(F.collect_set("start").alias(STARTS))
+    return scratch.table(marks.unionByName(copies.withColumn(STARTS, F.array(F.lit(-1)))), "marks")
 
 
 def _apply(docs: DataFrame, min_words: int, report: bool, scratch: Scratch) -> DataFrame:

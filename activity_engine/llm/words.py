@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 4 << 20  # texts handled at once inside a task
-_PIECE = 1 << 20  # bytes under one table of powers
+SLICE_BYTES = 1 << 20  # texts handled at once inside a task
+_PIECE = 1 << 18  # bytes under one table of powers
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
