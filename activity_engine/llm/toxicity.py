@@ -37,12 +37,12 @@ from .words import Words, ragged, run_hash, slices, split_words
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 2
-LEAST = 5  # uses of a bucket in the sample from which its vector is trained
-RARE = 1e-2  # share of all words at which a word counts half in the average
+LEAST = 20  # uses of a bucket in the sample from which its vector is trained
+RARE = 5e-3  # share of all words at which a word counts half in the average
 EPOCHS = 80
 RATE = 0.2
-DECAY = 1e-5
-SAMPLE = 1500  # labelled rows of a class at most
+DECAY = 5e-6
+SAMPLE = 2000  # labelled rows of a class at most
 SAMPLE_CHARS = 20_000  # longest text in the sample (texts are taken whole)
 FOLDS = 5  # ids with crc32 of 0 modulo this are held out
 
