@@ -17,8 +17,18 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
-# Order that decides "the last event" of a user: time, then session, then item.
+# Order that decides "the last event": time, session, item, and for events alike
+# in all three the columns below, larger values last, nulls first.  Every
+# operator that looks at a last event orders by the whole list.
 LATEST_ORDER = ["ts", "sessionId", "itemInSession"]
+TIE_ORDER = ["page", "level", "gender", "location", "userAgent", "auth", "song", "artist", "length"]
+
+
+def last_event(a: DataFrame, extra: list[str] | None = None) -> Column:
+    """Aggregate: the group's last event as a struct of the order's columns that
+    ``a`` has, then ``extra`` ones (values derived from the event)."""
+    cols = [c for c in [*LATEST_ORDER, *TIE_ORDER] if c in a.columns]
+    return F.max(F.struct(*cols, *[c for c in extra or [] if c not in cols]))
 
 
 def cancel_flag(page="page") -> Column:
@@ -41,6 +51,13 @@ def user_span(a: DataFrame) -> DataFrame:
     return a.groupBy("userId").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def events_of_churned(a: DataFrame) -> DataFrame:
+    """P-5 / J-5: the events of users who confirmed a cancellation, by a semi-join
+    to the users of that page (its filter goes to the scan)."""
+    users = a.filter(F.col("page") == X.CANCELLATION_PAGE).select("userId").distinct()
+    return a.join(users, "userId", "left_semi")
+
+
 def with_user_span(a: DataFrame) -> DataFrame:
     """W-1: first and last event time of the user on every row."""
     return a.join(user_span(a), "userId")
@@ -64,25 +81,20 @@ def with_user_count(a: DataFrame, page: str | None = None, out: str = "n") -> Da
     return rows.join(counts, "userId")
 
 
-def _latest_struct(cols: list[str]) -> Column:
-    rest = [c for c in cols if c not in LATEST_ORDER]
-    return F.max(F.struct(*[F.col(c) for c in LATEST_ORDER + rest]))
-
-
-def latest_per_user(a: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """D-3: the user's last event (ts, then sessionId, then itemInSession; the
-    remaining columns break any further tie), one row per user.
+def latest_per_user(a: DataFrame, cols: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """D-3: the last event of each key (by default each user), one row per key.
 
     ``max(struct)`` is a regular aggregate: partial on the map side, so the
-    shuffle carries one row per user per map task.
+    shuffle carries one row per key per map task.
     """
-    cols = cols or [c for c in a.columns if c != "userId"]
-    keep = [c for c in cols if c not in LATEST_ORDER]
-    last = a.groupBy("userId").agg(_latest_struct(cols).alias("_last"))
-    return last.select("userId", *[F.col(f"_last.{c}").alias(c) for c in LATEST_ORDER + keep])
+    keys = keys or ["userId"]
+    cols = cols or [c for c in a.columns if c not in keys]
+    out = [c for c in LATEST_ORDER if c not in keys] + [c for c in cols if c not in LATEST_ORDER and c not in keys]
+    last = a.groupBy(*keys).agg(last_event(a, out).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in out])
 
 
 def last_values(a: DataFrame, cols: list[str], prefix: str = "last_") -> DataFrame:
     """W-6: per user, the values of ``cols`` at the last event."""
-    last = latest_per_user(a.select("userId", *LATEST_ORDER, *cols))
+    last = latest_per_user(a, cols)
     return last.select("userId", F.col("ts").alias("last_ts"), *[F.col(c).alias(prefix + c) for c in cols])

@@ -4,29 +4,24 @@ Event crosstabs pre-aggregate before anything is spread per user: events are
 first counted per (user, category) with the user's cancel flag, then the
 churn flag is spread over that small table (at most one row per category
 value per user, so a hot user cannot make a large window partition), and
-only then summed per (churn, category).  No event-level row is ever joined
-or windowed.
+only then summed per (churn, category).  Play lengths by churn are merged
+from per-user sums.  No event-level row is joined or windowed.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from ..session import materialize
-from .churn import LATEST_ORDER, cancel_flag, churn_labels
+from .churn import LATEST_ORDER, cancel_flag, last_event
 
 
 def user_latest_with_churn(a: DataFrame, cols: list[str]) -> DataFrame:
     """Per user: churn flag and the values of ``cols`` at the last event (T-8:
     a fixed row, not an arbitrary one).  One aggregate, one shuffle."""
     rest = [c for c in cols if c not in LATEST_ORDER]
-    last = F.max(F.struct(*[F.col(c) for c in LATEST_ORDER + rest]))
+    last = last_event(a, rest)
     g = a.groupBy("userId").agg(F.max(cancel_flag()).cast("int").alias("churn"), last.alias("_last"))
     return g.select("userId", "churn", *[F.col(f"_last.{c}").alias(c) for c in LATEST_ORDER + rest])
 
@@ -62,74 +57,87 @@ def length_stats(a: DataFrame, by: list[str]) -> DataFrame:
 
 
 def length_by_churn(a: DataFrame) -> DataFrame:
-    """A-8: play length statistics per churn class (plays joined to the per-user label)."""
-    plays = a.filter(F.col("length").isNotNull()).select("userId", "length")
-    return length_stats(plays.join(churn_labels(a), "userId"), ["churn"]).orderBy("churn")
+    """A-8: play length statistics per churn class.
+
+    One scan and one shuffle of events: per user the count, mean, sum of
+    squared deviations, extremes and the cancel flag, then the users of a
+    class are merged (sum of deviations inside users and between their means)."""
+    users = a.groupBy("userId").agg(
+        F.max(cancel_flag()).cast("int").alias("churn"),
+        F.count("length").alias("n"),
+        F.avg("length").alias("mean"),
+        (F.var_pop("length") * F.count("length")).alias("inside"),
+        F.min("length").alias("low"),
+        F.max("length").alias("high"),
+    )
+    n = F.sum("n").cast("double")
+    mean = F.sum(F.col("n") * F.col("mean")) / n
+    stats = users.filter(F.col("n") > 0).groupBy("churn").agg(
+        n.alias("n"),
+        mean.alias("mean_length"),
+        F.sum("inside").alias("inside"),
+        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("squares"),
+        F.min("low").alias("minimum_length"),
+        F.max("high").alias("maximum_length"),
+    )
+    spread = F.col("inside") + F.col("squares") - F.col("n") * F.col("mean_length") * F.col("mean_length")
+    return stats.select(
+        "churn",
+        "mean_length",
+        F.when(F.col("n") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("n") - 1))).alias("stddev_length"),
+        "minimum_length",
+        "maximum_length",
+    ).orderBy("churn")
 
 
-def scaled_crosstab(ct: DataFrame, category: str, by: str = "churn", count: str = "count") -> DataFrame:
+def scaled_crosstab(ct: DataFrame, category: str, by: str = "churn", count: str = "count", classes: list | None = None) -> DataFrame:
     """A-12: complete the category x class grid with 0, min-max scale the
     counts within each class, and keep rows with a defined value.
 
-    The grid is a pivot on the two classes (not a cross join), written once
-    to the shared folder; the per-class min and max are scalar subqueries
-    over it, each a single value.  A class whose
-    counts are all equal has no range and drops out (T-16).
+    ``classes`` are the values of ``by`` (a churn label has 0 and 1; another
+    value then raises).  Without them the classes present are found first, by
+    a scalar subquery over ``ct``.  The grid is one row per category with a
+    map of its classes, laid out over all classes (no cross join), and the
+    ranges are a window by class over it, at most one row per category.  A
+    class whose counts are all equal has no range and drops out (T-16).
     """
-    classes = [0, 1]
-    wide = ct.groupBy(category).agg(
-        *[F.sum(F.when(F.col(by) == k, F.col(count)).otherwise(F.lit(0))).alias(f"_c{k}") for k in classes]
-    )
-    # One row per category: written once to the shared folder so that the
-    # min/max subqueries and the main query read it instead of each re-running
-    # the event scan and the per-user aggregate behind it.
-    wide = materialize(wide, "scaled_crosstab")
-    scaled = []
-    for k in classes:
-        lo = wide.agg(F.min(f"_c{k}")).scalar()
-        hi = wide.agg(F.max(f"_c{k}")).scalar()
-        scaled.append(F.struct(F.lit(k).alias(by), X.min_max_scale(f"_c{k}", lo, hi).alias("scaled")))
-    long = wide.select(F.col(category), F.explode(F.array(*scaled)).alias("_s"))
-    return (
-        long.select(category, F.col(f"_s.{by}").alias(by), F.col("_s.scaled").alias("scaled"))
-        .filter(F.col("scaled").isNotNull())
-        .orderBy(by, category)
-    )
+    if classes is None:
+        every = ct.agg(F.array_sort(F.collect_set(by))).scalar()
+    else:
+        every = F.array(*[F.lit(k) for k in classes])
+        known = F.when(F.col(by).isin(classes), F.col(by)).otherwise(F.raise_error(F.concat(F.lit(f"{by} outside {classes}: "), F.col(by).cast("string"))))
+        ct = ct.select(category, known.alias(by), count)
+    wide = ct.filter(F.col(by).isNotNull()).groupBy(category).agg(F.map_from_entries(F.collect_list(F.struct(by, count))).alias("_n"))
+    grid = wide.select(category, "_n", F.explode(every).alias(by))
+    grid = grid.select(category, by, F.coalesce(F.try_element_at("_n", F.col(by)), F.lit(0)).alias("_count"))
+    own = Window.partitionBy(by)
+    scaled = X.min_max_scale("_count", F.min("_count").over(own), F.max("_count").over(own))
+    return grid.select(category, by, scaled.alias("scaled")).filter(F.col("scaled").isNotNull()).orderBy(by, category)
 
 
 def ztest_counts(users: DataFrame, dim: str) -> DataFrame:
     """A-20: pooled two-proportion z statistic of the churn rate between the two
-    values of ``dim`` (first = smaller value).  One global aggregate."""
-    per = users.groupBy(dim).agg(F.count(F.lit(1)).alias("n"), F.sum("churn").alias("x"))
+    values of ``dim`` (first = smaller value) and its two-sided p-value.
+
+    Users without a value are left out; any other number of values than two
+    raises.  One global aggregate over the groups."""
+    per = users.filter(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("n"), F.sum("churn").alias("x"))
     pair = per.agg(
+        F.count(F.lit(1)).alias("groups"),
         F.min_by(F.struct(dim, "n", "x"), F.col(dim)).alias("a"),
         F.max_by(F.struct(dim, "n", "x"), F.col(dim)).alias("b"),
     )
     n1, x1, n2, x2 = (F.col("a.n").cast("double"), F.col("a.x").cast("double"), F.col("b.n").cast("double"), F.col("b.x").cast("double"))
     pooled = (x1 + x2) / (n1 + n2)
     z = F.try_divide(x1 / n1 - x2 / n2, F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2)))
-    return pair.select(
+    wrong = F.raise_error(F.concat(F.lit(f"a two-sample test needs two values of {dim}, found "), F.col("groups").cast("string"))).cast("double")
+    out = pair.select(
         F.col(f"a.{dim}").alias("group_a"),
         F.col("a.n").alias("n_a"),
         F.col("a.x").alias("churned_a"),
         F.col(f"b.{dim}").alias("group_b"),
         F.col("b.n").alias("n_b"),
         F.col("b.x").alias("churned_b"),
-        z.alias("z"),
+        F.when(F.col("groups") == 2, z).otherwise(wrong).alias("z"),
     )
-
-
-@F.pandas_udf(T.DoubleType())
-def _two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else float("nan"))
-
-
-def with_p_value(zt: DataFrame) -> DataFrame:
-    """Two-sided p-value of ``z`` (normal).  Spark has no ``erf``: a vectorised
-    pandas UDF on the one-row result."""
-    return zt.withColumn("p_value", _two_sided_p(F.col("z")))
-
-
-def churn_ztest(users: DataFrame, dim: str) -> DataFrame:
-    """A-20: counts, z and two-sided p-value."""
-    return with_p_value(ztest_counts(users, dim))
+    return out.withColumn("p_value", X.two_sided_p("z"))

@@ -11,7 +11,8 @@ grain over one scan of the events:
   StringIndexer fit (one distinct-values job, bounded by the categories).
 
 Every aggregate is partial-before-shuffle, so a user with a third of the
-log adds one row per map task to the shuffle, not a third of the rows.
+log adds one row per map task to the shuffle, not a third of the rows (the
+distinct counts of songs and artists: one row per value and map task).
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..session import materialize
 from ..sources.schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES, PIVOT_PAGES
-from .churn import LATEST_ORDER, cancel_flag
-from .clean import after_noon_hour, clean_events, in_first_half_of_month, row_sum
+from .churn import cancel_flag, last_event
+from .clean import after_noon_hour, clean_events, in_first_half_of_month, row_sum, zero_fill
 
 
 def _is(page: str) -> Column:
@@ -39,12 +40,10 @@ def _is(page: str) -> Column:
 # --------------------------------------------------------------------------
 
 def daily_activity(a: DataFrame) -> DataFrame:
-    """Per (user, UTC date): events, plays, counts of the three pages, the
-    cancel flag and the last event's (gender, level, location)."""
-    last = F.max(F.struct(*[F.col(c) for c in LATEST_ORDER], "gender", "level", "location"))
+    """Per (user, UTC day number): events, plays, counts of the three pages, the
+    cancel flag and the last event."""
     return (
-        a.withColumn("date", X.event_date("ts"))
-        .groupBy("userId", "date")
+        a.groupBy("userId", X.event_day("ts").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             F.count_if(_is(X.PLAY_PAGE)).alias("n_songs"),
@@ -52,7 +51,7 @@ def daily_activity(a: DataFrame) -> DataFrame:
             F.count_if(_is(X.THUMBS_DOWN_PAGE)).alias("n_down"),
             F.count_if(_is(X.ADD_FRIEND_PAGE)).alias("n_friend"),
             F.max(cancel_flag()).alias("cancel"),
-            last.alias("last"),
+            last_event(a).alias("last"),
         )
     )
 
@@ -60,7 +59,7 @@ def daily_activity(a: DataFrame) -> DataFrame:
 def avg_per_active_day(a: DataFrame, page: str | None, out: str) -> DataFrame:
     """A-16 / A-17: average daily count over days with such events, rounded to 2."""
     rows = a if page is None else a.filter(_is(page))
-    per_day = rows.withColumn("date", X.event_date("ts")).groupBy("userId", "date").agg(F.count(F.lit(1)).alias("_n"))
+    per_day = rows.groupBy("userId", X.event_day("ts").alias("day")).agg(F.count(F.lit(1)).alias("_n"))
     return per_day.groupBy("userId").agg(X.round2(F.avg("_n")).alias(out))
 
 
@@ -81,7 +80,7 @@ def behaviour_features(a: DataFrame, as_of: str, keep_silent: bool = False) -> D
     daily = daily_activity(clean_events(a))
     users = daily.groupBy("userId").agg(
         F.max("cancel").cast("int").alias("churn"),
-        F.min("date").alias("first_date"),
+        X.day_date(F.min("day")).alias("first_date"),
         F.avg("n_events").alias("_avg_events"),
         F.sum("n_songs").alias("_songs"),
         F.count_if(F.col("n_songs") > 0).alias("_song_days"),
@@ -133,7 +132,6 @@ def category_sets() -> list[Column]:
 def user_aggregates(a: DataFrame, pages: list[str] = PIVOT_PAGES, sets: bool = False) -> DataFrame:
     """One row per user with every notebook aggregate (cleaned input)."""
     play = _is(X.PLAY_PAGE)
-    last = F.max(F.struct(*[F.col(c) for c in LATEST_ORDER], *[F.col(c) for c in ["gender", "level", "userAgent"]]))
     return a.groupBy("userId").agg(
         *(category_sets() if sets else []),
         F.avg("length").alias("average_length"),
@@ -148,7 +146,7 @@ def user_aggregates(a: DataFrame, pages: list[str] = PIVOT_PAGES, sets: bool = F
         F.count_if(in_first_half_of_month()).alias("day_count"),
         F.count_if(after_noon_hour()).alias("hourofday_count"),
         F.max(cancel_flag()).cast("int").alias("Churn"),
-        last.alias("last"),
+        last_event(a).alias("last"),
     )
 
 
@@ -296,8 +294,8 @@ def categorical_features(a: DataFrame) -> DataFrame:
     the shared folder; the dictionary is fitted on it and it is encoded: one
     scan of the events.
     """
-    last = F.max(F.struct(*[F.col(c) for c in LATEST_ORDER], "gender", "level", "userAgent"))
-    users = materialize(clean_events(a).groupBy("userId").agg(last.alias("last"), *category_sets()), "user_categories")
+    a = clean_events(a)
+    users = materialize(a.groupBy("userId").agg(last_event(a).alias("last"), *category_sets()), "user_categories")
     coded = apply_label_codes(fit_label_codes_from_sets(users), with_categories(users))
     return coded.select("userId", *CATEGORICAL_FEATURES)
 
@@ -320,4 +318,4 @@ def training_set(a: DataFrame, keep_silent: bool = False) -> DataFrame:
         *[F.col(f"`{c}`").cast("float").alias(c) for c in NUMERICAL_FEATURES],
         F.col("Churn").cast("int").alias("Churn"),
     )
-    return out.na.fill(0)
+    return zero_fill(out)

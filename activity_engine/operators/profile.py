@@ -107,7 +107,8 @@ def level_changers(a: DataFrame, out: str = "n_users") -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
-    """A-21: equal-width histogram of a numeric column (nulls left out).
+    """A-21: equal-width histogram of a numeric column (nulls left out), one row
+    for every bin, empty ones too; a column without values has no bins.
 
     The global min and max are scalar subqueries (one small job, a single
     value each); rows are bucketed with ``floor`` and the maximum is clamped
@@ -120,12 +121,13 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     width = (hi - lo) / F.lit(float(bins))
     raw = F.floor(F.coalesce(F.try_divide(F.col("_x") - lo, width), F.lit(0.0)))
     bucket = F.least(raw, F.lit(bins - 1)).cast("int")
-    counted = vals.groupBy(bucket.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
+    counted = vals.groupBy(bucket.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counted, "bin", "left").filter(lo.isNotNull()).select(
         "bin",
         (lo + F.col("bin") * width).alias("bin_start"),
         (lo + (F.col("bin") + 1) * width).alias("bin_end"),
-        "n",
+        F.coalesce("_n", F.lit(0)).alias("n"),
     ).orderBy("bin")
 
 

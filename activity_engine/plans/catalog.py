@@ -12,7 +12,7 @@ import uuid
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -229,11 +229,12 @@ def q_level_changers(spark, d):
 @register(
     "length_histogram",
     sql(
-        "SELECT bin, lo + bin * w AS bin_start, lo + (bin + 1) * w AS bin_end, count(*) AS n FROM ("
-        "SELECT least(CAST(floor((length - lo) / w) AS INTEGER), 19) AS bin, lo, w FROM clean, "
-        "(SELECT min(length) AS lo, (max(length) - min(length)) / CAST(20 AS DOUBLE) AS w FROM clean) s WHERE length IS NOT NULL) "
-        "GROUP BY bin, lo, w",
+        "SELECT b.bin, lo + b.bin * w AS bin_start, lo + (b.bin + 1) * w AS bin_end, coalesce(n, 0) AS n FROM "
+        "(SELECT CAST(unnest(range(20)) AS INTEGER) AS bin) b CROSS JOIN s LEFT JOIN ("
+        "SELECT least(CAST(floor((length - lo) / w) AS INTEGER), 19) AS bin, count(*) AS n FROM clean, s WHERE length IS NOT NULL GROUP BY 1) c "
+        "ON b.bin = c.bin",
         *CLEAN_CTES,
+        "s AS (SELECT min(length) AS lo, (max(length) - min(length)) / CAST(20 AS DOUBLE) AS w FROM clean)",
     ),
 )
 def q_length_histogram(spark, d):
@@ -437,6 +438,28 @@ def q_latest_per_user(spark, d):
     return CH.latest_per_user(clean(spark, d))
 
 
+@register(
+    "latest_per_user_gender",
+    sql(
+        "SELECT userId, gender, ts, page, level FROM (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY userId, gender "
+        "ORDER BY ts DESC, sessionId DESC, itemInSession DESC, page DESC, level DESC) AS rn FROM clean c) WHERE rn = 1",
+        *CLEAN_CTES,
+    ),
+)
+def q_latest_per_user_gender(spark, d):
+    """D-3 by (userId, gender)."""
+    return CH.latest_per_user(clean(spark, d), ["page", "level"], keys=["userId", "gender"]).select("userId", "gender", "ts", "page", "level")
+
+
+@register(
+    "mapped_levels",
+    sql("SELECT userId, ts, CASE level WHEN 'free' THEN '0' WHEN 'paid' THEN '1' ELSE level END AS level FROM clean", *CLEAN_CTES),
+)
+def q_mapped_levels(spark, d):
+    """P-11: values of a column replaced by a mapping."""
+    return CL.map_values(clean(spark, d).select("userId", "ts", "level"), "level", {"free": "0", "paid": "1"})
+
+
 # ---------------------------------------------------------------- crosstabs
 
 
@@ -509,7 +532,7 @@ for _name in ["city", "state"]:
     _body, _extra = _scaled_sql(_user_ct_sql(_sql_expr, _name), _name)
 
     def _scaled_user(spark, d, _name=_name, _col=_col):
-        return CT.scaled_crosstab(CT.user_crosstab(clean(spark, d), _col(), _name), _name)
+        return CT.scaled_crosstab(CT.user_crosstab(clean(spark, d), _col(), _name), _name, classes=[0, 1])
 
     register(f"scaled_{_name}", sql(_body, *LABEL_CTES, LATEST, *_extra))(_scaled_user)
 
@@ -522,20 +545,25 @@ for _name, (_sql_expr, _mk) in EVENT_DIMS.items():
     _body, _extra = _scaled_sql(_event_ct_sql(_sql_expr), _name)
 
     def _scaled_event(spark, d, _name=_name, _mk=_mk):
-        return CT.scaled_crosstab(CT.event_crosstab(clean(spark, d), _mk(), _name), _name)
+        return CT.scaled_crosstab(CT.event_crosstab(clean(spark, d), _mk(), _name), _name, classes=[0, 1])
 
     register(f"scaled_{_name}", sql(_body, *DIM_CTES, *_extra))(_scaled_event)
 
 
 def _ztest_sql(col: str) -> str:
+    """The p-value by Simpson's rule over the normal density from 0 to abs(z)."""
     return sql(
-        "SELECT a.g AS group_a, a.n AS n_a, a.x AS churned_a, b.g AS group_b, b.n AS n_b, b.x AS churned_b, "
-        "round((CAST(a.x AS DOUBLE) / a.n - CAST(b.x AS DOUBLE) / b.n) / sqrt(((CAST(a.x AS DOUBLE) + b.x) / (a.n + b.n)) "
-        "* (1 - (CAST(a.x AS DOUBLE) + b.x) / (a.n + b.n)) * (1 / CAST(a.n AS DOUBLE) + 1 / CAST(b.n AS DOUBLE))), 6) AS z "
-        "FROM g a JOIN g b ON a.g < b.g",
+        "SELECT group_a, n_a, churned_a, group_b, n_b, churned_b, round(z, 6) AS z, "
+        "round(1 - 2 * (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+        "* exp(-(i * abs(z) / 2000) * (i * abs(z) / 2000) / 2) / sqrt(2 * pi())) * abs(z) / 6000 "
+        "FROM (SELECT unnest(range(2001)) AS i)), 6) AS p_value FROM t",
         *LABEL_CTES,
         LATEST,
         f"g AS (SELECT x.{col} AS g, count(*) AS n, CAST(sum(l.churn) AS BIGINT) AS x FROM latest x JOIN labels l USING (userId) GROUP BY 1)",
+        "t AS (SELECT a.g AS group_a, a.n AS n_a, a.x AS churned_a, b.g AS group_b, b.n AS n_b, b.x AS churned_b, "
+        "(CAST(a.x AS DOUBLE) / a.n - CAST(b.x AS DOUBLE) / b.n) / sqrt(((CAST(a.x AS DOUBLE) + b.x) / (a.n + b.n)) "
+        "* (1 - (CAST(a.x AS DOUBLE) + b.x) / (a.n + b.n)) * (1 / CAST(a.n AS DOUBLE) + 1 / CAST(b.n AS DOUBLE))) AS z "
+        "FROM g a JOIN g b ON a.g < b.g)",
     )
 
 
@@ -543,7 +571,7 @@ for _col in ["gender", "level"]:
 
     def _ztest(spark, d, _col=_col):
         users = CT.user_latest_with_churn(clean(spark, d), [_col])
-        return rounded(CT.ztest_counts(users, _col), ["z"])
+        return rounded(CT.ztest_counts(users, _col), ["z", "p_value"])
 
     register(f"ztest_{_col}", _ztest_sql(_col))(_ztest)
 
@@ -897,6 +925,70 @@ def q_confusion_and_f1(spark, d):
     return rounded(m, ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1"], 9)
 
 
+MD5_SPLIT_SQL = (
+    "spl AS (SELECT *, CASE WHEN u < 6 THEN 'train' WHEN u < 8 THEN 'test' ELSE 'validation' END AS split "
+    "FROM (SELECT *, ascii(substr(md5(userId), 1, 1)) % 10 AS u FROM bf))"
+)
+
+
+def md5_split(bf: DataFrame) -> DataFrame:
+    """A split by a hash that other engines have too (first hex digit of the md5 of the user)."""
+    u = F.ascii(F.substring(F.md5(F.col("userId").cast("binary")), 1, 1)) % 10
+    return bf.withColumn("split", F.when(u < 6, F.lit(0)).when(u < 8, F.lit(1)).otherwise(F.lit(2)))
+
+
+@register(
+    "split_sizes",
+    sql(
+        "SELECT split, count(*) AS n_rows, count(DISTINCT userId) AS n_users, "
+        "count(*) FILTER (WHERE userId IN (SELECT userId FROM spl o WHERE o.split <> spl.split)) AS shared FROM spl GROUP BY split",
+        *BF_CTES,
+        MD5_SPLIT_SQL,
+    ),
+)
+def q_split_sizes(spark, d):
+    """M-7: sizes of the splits, and users found in more than one."""
+    name = F.element_at(F.array(F.lit("train"), F.lit("test"), F.lit("validation")), F.col("split") + 1)
+    t = md5_split(batch_features(spark, d)).select("userId", name.alias("split"))
+    user = t.groupBy("userId", "split").agg(F.count(F.lit(1)).alias("n"))
+    user = user.withColumn("splits", F.count(F.lit(1)).over(Window.partitionBy("userId")))
+    return user.groupBy("split").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_users"), F.sum(F.when(F.col("splits") > 1, F.col("n")).otherwise(0)).alias("shared")
+    )
+
+
+class _RuleModel:
+    """A prediction rule with the interface of a fitted model."""
+
+    def transform(self, bf: DataFrame) -> DataFrame:
+        return bf.withColumn("label", F.col("churn").cast("double")).withColumn(
+            "prediction", F.when(F.col("last_level") == "free", 1.0).otherwise(0.0)
+        )
+
+
+@register(
+    "split_metrics",
+    sql(
+        "SELECT split, CAST(sum(n) AS BIGINT) AS n, round(sum(tp) / sum(n), 9) AS accuracy, "
+        "round(sum(prec * n) / sum(n), 9) AS weighted_precision, round(sum(rec * n) / sum(n), 9) AS weighted_recall, "
+        "round(sum(f1 * n) / sum(n), 9) AS weighted_f1 FROM m2 GROUP BY split",
+        *BF_CTES,
+        MD5_SPLIT_SQL,
+        "conf AS (SELECT split, CAST(churn AS DOUBLE) AS l, CASE WHEN last_level = 'free' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS p, "
+        "CAST(count(*) AS DOUBLE) AS w FROM spl GROUP BY 1, 2, 3), "
+        "pl AS (SELECT split, l, sum(w) AS n, sum(CASE WHEN l = p THEN w ELSE 0 END) AS tp FROM conf GROUP BY split, l), "
+        "pp AS (SELECT split, p AS l, sum(CASE WHEN l <> p THEN w ELSE 0 END) AS fp FROM conf GROUP BY split, p), "
+        "m AS (SELECT pl.split, pl.l, n, tp, coalesce(fp, 0) AS fp, CASE WHEN tp + coalesce(fp, 0) = 0 THEN 0 "
+        "ELSE tp / (tp + coalesce(fp, 0)) END AS prec, tp / n AS rec FROM pl LEFT JOIN pp ON pl.split = pp.split AND pl.l = pp.l), "
+        "m2 AS (SELECT *, CASE WHEN prec + rec = 0 THEN 0 ELSE 2 * prec * rec / (prec + rec) END AS f1 FROM m)",
+    ),
+)
+def q_split_metrics(spark, d):
+    """M-14: metrics of a fixed prediction rule in every split."""
+    m = ML.evaluate_splits(_RuleModel(), md5_split(batch_features(spark, d)))
+    return rounded(m, ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1"], 9)
+
+
 # ---------------------------------------------------------------- ML fits (rows-only checks)
 
 
@@ -918,8 +1010,7 @@ def notebook_split(spark, d) -> tuple[DataFrame, DataFrame]:
 def _model_query(name: str):
     def run(spark, d):
         train, valid = notebook_split(spark, d)
-        make, folds = ML.MODEL_SPECS[name]
-        cvm = ML.cross_validate(make(), train, folds)
+        cvm, _ = ML.fit_spec(name, train)
         return cvm.transform(valid).select("userId", "label", "prediction")
 
     return run
@@ -939,17 +1030,13 @@ def q_cross_validation(spark, d):
 @register("grid_search")
 def q_grid_search(spark, d):
     train, _ = notebook_split(spark, d)
-    svm = ML.train_svm()
-    grid = ML.param_grid(svm, {"maxIter": [50, 100, 150], "regParam": [0.0, 0.01]})
-    return ML.cv_metrics(spark, ML.cross_validate(svm, train, 3, grid), "linear_svm")
+    return ML.cv_metrics(spark, ML.fit_spec("linear_svm_tuned", train)[0], "linear_svm")
 
 
 @register("grid_search_forest")
 def q_grid_search_forest(spark, d):
     train, _ = notebook_split(spark, d)
-    rf = ML.train_forest(seed=42)
-    grid = ML.param_grid(rf, {"maxDepth": [3, 4, 5, 6, 8], "numTrees": [20, 15, 10, 5]})
-    return ML.cv_metrics(spark, ML.cross_validate(rf, train, 10, grid, parallelism=8), "random_forest")
+    return ML.cv_metrics(spark, ML.fit_spec("random_forest_tuned", train, parallelism=8)[0], "random_forest")
 
 
 @register("model_comparison")
@@ -958,37 +1045,18 @@ def q_model_comparison(spark, d):
     return ML.compare_models(train, valid)
 
 
-MODEL_VERSION = "v1"  # bump when the pipeline's stages change
-
-
 def _built_model(spark, d):
-    """C-7 on the batch features: the fitted pipeline is saved to the shared
-    folder (S-5) and loaded back (S-6) as the scoring service would."""
+    """C-7 on the batch features: the fitted pipeline is saved to a fresh folder
+    under the shared one (S-5) and loaded back (S-6) as the scoring service would."""
     from ..session import scratch_path
     from ..sources.schema import load_model
 
-    key = zlib.crc32(d.encode())
     bf = written_batch_features(spark, d)
-    dst = scratch_path(spark, f"churn_model/{MODEL_VERSION}/{key}")
+    dst = scratch_path(spark, f"churn_model/{uuid.uuid4().hex}")
     _, report = ML.build_churn_model(bf, seed=42, dst=dst)
     return load_model(dst), report, bf
 
 
-def _served_model(spark, d):
-    """The model the scoring side uses: the one the model job saved for this
-    input (as the reference's app loads the job's output), built if absent."""
-    from ..session import scratch_path
-    from ..sources.schema import load_model
-
-    key = zlib.crc32(d.encode())
-    dst = scratch_path(spark, f"churn_model/{MODEL_VERSION}/{key}")
-    try:
-        model = load_model(dst)
-    except Exception:  # not built yet for this input
-        return _built_model(spark, d)[0], batch_features(spark, d)
-    return model, batch_features(spark, d)
-
-
 @register("build_model")
 def q_build_model(spark, d):
     return _built_model(spark, d)[1]
@@ -1004,16 +1072,62 @@ def scoring_requests(bf: DataFrame) -> DataFrame:
 
 @register("score_batch")
 def q_score_batch(spark, d):
-    model, bf = _served_model(spark, d)
+    model, _, bf = _built_model(spark, d)
     return SC.score_requests(model, scoring_requests(bf), AS_OF)
 
 
+REQUEST_NUMBERS = ("avgEvents", "avgSongs", "thumbsup", "thumbsdown", "add_friend")
+
+
+def odd_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One request for each order, its fields missing, malformed or fine by its key."""
+    k = F.col("o_orderkey")
+    number = lambda shift: F.when((k + shift) % 11 == 0, F.lit(None)).when((k + shift) % 13 == 0, F.lit("many")).when((k + shift) % 3 == 0, F.lit("2.0")).otherwise(F.lit("3"))
+    return fixtures.table(spark, d, "orders").select(
+        k.alias("request_id"),
+        F.when(k % 2 == 0, F.lit("male")).when(k % 5 == 0, F.lit(None)).otherwise(F.lit("female")).alias("gender"),
+        *[number(i).cast("string").alias(c) for i, c in enumerate(REQUEST_NUMBERS)],
+        F.when(k % 17 == 0, F.lit("soon")).otherwise(F.lit("2024-08-19")).alias("reg_date"),
+        F.when(k % 7 == 0, F.lit("gold")).when(k % 4 == 0, F.lit("paid")).otherwise(F.lit("free")).alias("level"),
+        F.lit("CA").alias("location"),
+    )
+
+
+_NUMBER_SQL = (
+    "CASE WHEN (k + {i}) % 11 = 0 THEN 0.0 WHEN (k + {i}) % 13 = 0 THEN NULL WHEN (k + {i}) % 3 = 0 THEN 2.0 ELSE 3.0 END"
+)
+
+
+@register(
+    "score_unscorable",
+    "SELECT k AS request_id, CASE WHEN k % 2 = 0 THEN 'M' ELSE 'F' END AS gender, "
+    + ", ".join(
+        f"CAST({_NUMBER_SQL.format(i=i)} AS {t}) AS {c}"
+        for i, (c, t) in enumerate([("avg_events", "DOUBLE"), ("avg_songs", "DOUBLE"), ("thumbs_up", "INTEGER"), ("thumbs_down", "INTEGER"), ("addfriend", "INTEGER")])
+    )
+    + ", CASE WHEN k % 17 = 0 THEN NULL ELSE 135 END AS days_active, "
+    + "NOT (k % 17 = 0 OR k % 7 = 0"
+    + "".join(f" OR ((k + {i}) % 11 <> 0 AND (k + {i}) % 13 = 0)" for i in range(5))
+    + ") AS scorable FROM (SELECT o_orderkey AS k FROM orders)",
+)
+def q_score_unscorable(spark, d):
+    """C-8, F-14: request fields as the model sees them, and which rows can be
+    scored by indexers that know both genders, two levels and one place."""
+    from ..sources.schema import requests_df
+
+    known = requests_df(spark, [(i, g, "1", "1", "1", "1", "1", "2024-01-01", lv, "CA") for i, (g, lv) in enumerate([("male", "free"), ("female", "paid")])])
+    model = ML.Pipeline(stages=[ML.category_indexer()]).fit(SC.request_features(known, AS_OF))
+    feats = SC.request_features(odd_requests(spark, d), AS_OF)
+    flagged = SC.with_scorable(model, feats, ["days_active", *SC.NUMERIC_REQUEST_COLUMNS]).select("request_id", F.col("_ok").alias("scorable"))
+    return feats.drop("last_level", "last_state").join(flagged, "request_id")
+
+
 @register("score_stream")
 def q_score_stream(spark, d):
     from ..session import scratch_path
     from ..streaming.scoring import start_scoring
 
-    model, bf = _served_model(spark, d)
+    model, _, bf = _built_model(spark, d)
     # a fresh folder per run: the stream's sink and checkpoint start empty
     base = scratch_path(spark, f"score_stream/{zlib.crc32(d.encode())}/{uuid.uuid4().hex}")
     source, sink, ckpt = f"{base}/requests", f"{base}/scored", f"{base}/checkpoint"
@@ -1060,6 +1174,5 @@ def q_plays(spark, d):
     sql("SELECT userId, ts, page FROM clean JOIN labels USING (userId) WHERE churn = 1", *LABEL_CTES),
 )
 def q_churned_events(spark, d):
-    """P-5: rows of churned users (label joined back, then the flag filter)."""
-    a = clean(spark, d).select("userId", "ts", "page")
-    return CL.churned_events(CH.with_churn(a, "churn")).select("userId", "ts", "page")
+    """P-5: rows of churned users."""
+    return CH.events_of_churned(clean(spark, d).select("userId", "ts", "page")).select("userId", "ts", "page")

@@ -178,8 +178,15 @@ def param_grid(estimator, grid: dict[str, list]) -> list:
     return builder.build()
 
 
-def cross_validate(estimator, train: DataFrame, folds: int, grid: list | None = None, seed: int = 42, parallelism: int = 4):
-    """M-12: k-fold cross-validation on weighted F1; returns the fitted CV model."""
+def cross_validate(
+    estimator, train: DataFrame, folds: int, grid: list | None = None, seed: int = 42, parallelism: int = 4, key: str = "userId"
+):
+    """M-12: k-fold cross-validation on weighted F1; returns the fitted CV model.
+
+    With a ``key`` column the folds are a hash of it, the same at any
+    partitioning; without one Spark deals rows out by a seeded random column."""
+    if key in train.columns:
+        train = train.withColumn("_fold", hash_split_column([1.0] * folds, seed, key))
     cv = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid if grid is not None else ParamGridBuilder().build(),
@@ -187,6 +194,7 @@ def cross_validate(estimator, train: DataFrame, folds: int, grid: list | None =
         numFolds=folds,
         seed=seed,
         parallelism=parallelism,
+        foldCol="_fold" if key in train.columns else "",
     )
     return cv.fit(train)
 
@@ -250,11 +258,6 @@ def evaluate_splits(model, data: DataFrame, split_col: str = "split", names: lis
     return evaluate(scored, by=["split_name"]).withColumnRenamed("split_name", "split")
 
 
-def predict(model, df: DataFrame) -> DataFrame:
-    """M-16: append raw prediction, probability and prediction."""
-    return model.transform(df)
-
-
 # ---------------------------------------------------------------- composite jobs
 
 
@@ -275,7 +278,7 @@ def churn_pipeline(num_trees: int = 100, max_depth: int = 5, seed: int | None =
     return Pipeline(stages=batch_feature_stages() + [rf])
 
 
-def build_churn_model(bf: DataFrame, seed: int = 42, num_trees: int = 100, dst: str | None = None, overwrite: bool = True):
+def build_churn_model(bf: DataFrame, seed: int = 42, num_trees: int = 100, dst: str | None = None, overwrite: bool = False):
     """C-7: split 60/20/20 (by user hash), fit the pipeline on train, evaluate
     every split, optionally save.  Returns ``(model, report)``.  Pass a
     materialized feature table (``materialize``): the fit makes many passes."""
@@ -289,20 +292,33 @@ def build_churn_model(bf: DataFrame, seed: int = 42, num_trees: int = 100, dst:
     return model, report
 
 
+# The reference's seeds, depths, iterations, folds and grids.
+SVM_GRID = {"maxIter": [50, 100, 150], "regParam": [0.0, 0.01]}
+FOREST_GRID = {"maxDepth": [3, 4, 5, 6, 8], "numTrees": [20, 15, 10, 5]}
 MODEL_SPECS = {
-    "random_forest": (lambda: train_forest(seed=42, max_depth=5), 10),
-    "gbt": (lambda: train_gbt(seed=0), 2),
-    "logistic_regression": (lambda: train_logistic(50), 3),
-    "linear_svm": (lambda: train_svm(100), 3),
+    "random_forest": (lambda: train_forest(seed=42, max_depth=5), 10, None),
+    "gbt": (lambda: train_gbt(seed=0), 2, None),
+    "logistic_regression": (lambda: train_logistic(50), 3, None),
+    "linear_svm": (lambda: train_svm(100), 3, None),
+    "linear_svm_tuned": (lambda: train_svm(), 3, SVM_GRID),
+    "random_forest_tuned": (lambda: train_forest(seed=42), 10, FOREST_GRID),
 }
 
 
+def fit_spec(name: str, train: DataFrame, parallelism: int = 4):
+    """(cross-validated model, folds) of one entry of ``MODEL_SPECS``."""
+    make, folds, grid = MODEL_SPECS[name]
+    estimator = make()
+    points = param_grid(estimator, grid) if grid else None
+    return cross_validate(estimator, train, folds, points, parallelism=parallelism), folds
+
+
 def compare_models(train: DataFrame, valid: DataFrame, names: list[str] | None = None, parallelism: int = 4) -> DataFrame:
-    """M-18: cross-validate each model on ``train``, score ``valid``; one row per model."""
+    """M-18: cross-validate each model on ``train``, score ``valid``; one row per
+    model, tuned ones (best point of their grid) included."""
     parts = []
     for name in names or list(MODEL_SPECS):
-        make, folds = MODEL_SPECS[name]
-        cvm = cross_validate(make(), train, folds, parallelism=parallelism)
+        cvm, folds = fit_spec(name, train, parallelism)
         metrics = evaluate(cvm.transform(valid))
         parts.append(
             metrics.select(
@@ -314,7 +330,3 @@ def compare_models(train: DataFrame, valid: DataFrame, names: list[str] | None =
             )
         )
     return functools.reduce(DataFrame.unionByName, parts)
-
-
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

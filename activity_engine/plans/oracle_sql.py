@@ -69,12 +69,14 @@ labels AS (
   FROM clean GROUP BY userId
 )"""
 
-# The user's last event (ts, then sessionId, then itemInSession).
+# The user's last event (ts, sessionId, itemInSession, then the other columns in a stated order).
 LATEST = """
 latest AS (
   SELECT * FROM (
     SELECT c.*, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY ts DESC, sessionId DESC, itemInSession DESC,
-                                   page DESC, level DESC) AS rn
+                                   page DESC NULLS LAST, level DESC NULLS LAST, gender DESC NULLS LAST, location DESC NULLS LAST,
+                                   userAgent DESC NULLS LAST, auth DESC NULLS LAST, song DESC NULLS LAST,
+                                   artist DESC NULLS LAST, length DESC NULLS LAST) AS rn
     FROM clean c) WHERE rn = 1
 )"""
 

@@ -47,13 +47,12 @@ def explore(raw: DataFrame, top: int = 5, bins: int = 20) -> dict[str, DataFrame
     for name, col in event_dims.items():
         out[f"events_by_churn_{name}"] = CT.event_crosstab(a, col, name)
     for dim in ["gender", "level"]:
-        out[f"ztest_{dim}"] = CT.churn_ztest(CT.user_latest_with_churn(a, [dim]), dim)
+        out[f"ztest_{dim}"] = CT.ztest_counts(CT.user_latest_with_churn(a, [dim]), dim)
     return out
 
 
 def scaled(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The min-max scaled versions of the crosstabs (each runs a small job to
-    checkpoint its pivot, so they are built on request)."""
+    """The min-max scaled versions of the crosstabs."""
     names = [k for k in report if k.startswith("churn_by_") and k[9:] in ("city", "state")]
     names += [k for k in report if k.startswith("events_by_churn_")]
-    return {f"scaled_{k.rsplit('_', 1)[-1]}": CT.scaled_crosstab(report[k], k.rsplit("_", 1)[-1]) for k in names}
+    return {f"scaled_{k.rsplit('_', 1)[-1]}": CT.scaled_crosstab(report[k], k.rsplit("_", 1)[-1], classes=[0, 1]) for k in names}

@@ -3,14 +3,10 @@
 The reference's scoring page built a one-row DataFrame per request, ran the
 model up to three times on it and answered -1 when the model returned no
 row (an unseen category is skipped by the indexer).  Here a whole batch (or
-a stream, C-9) of requests is scored in one pass:
-
-* each request is checked against the category labels held by the fitted
-  indexer (a short list per column, bounded by the categories) and for
-  missing numbers;
-* scorable rows go through ``model.transform``; the rest get -1;
-* the two parts are a ``union``: no join back, no shuffle, so the same plan
-  works on a stream.
+a stream, C-9) of requests is scored in one pass over its input: categories
+are looked up by copies of the fitted indexers that keep unseen values, rows
+that cannot be scored get a known category and zeros for the model's sake
+and -1 as their outcome.  No shuffle, no union, one read of the source.
 """
 
 from __future__ import annotations
@@ -31,12 +27,17 @@ NUMERIC_REQUEST_COLUMNS = {
 }
 
 
+def _number(name: str, to: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("0")).try_cast("double").try_cast(to)
+
+
 def request_features(requests: DataFrame, as_of: str) -> DataFrame:
     """Raw request fields to the model's input columns.
 
     ``days_active`` counts days from ``reg_date`` to ``as_of``; a date that
-    does not parse gives null (the reference raised), numbers that do not
-    parse give null (``try_cast``)."""
+    does not parse gives null (the reference raised).  A missing number is 0,
+    as in the reference's form; one that does not parse gives null; an int
+    field may be written ``2.0``."""
     reg = F.try_to_timestamp(F.col("reg_date"), F.lit("yyyy-MM-dd")).cast("date")
     return requests.select(
         "request_id",
@@ -44,7 +45,7 @@ def request_features(requests: DataFrame, as_of: str) -> DataFrame:
         F.col("level").alias("last_level"),
         F.datediff(F.to_date(F.lit(as_of)), reg).alias("days_active"),
         F.col("location").alias("last_state"),
-        *[F.col(src).try_cast(t).alias(out) for out, (src, t) in NUMERIC_REQUEST_COLUMNS.items()],
+        *[_number(src, t).alias(out) for out, (src, t) in NUMERIC_REQUEST_COLUMNS.items()],
     )
 
 
@@ -59,26 +60,36 @@ def known_categories(model: PipelineModel) -> dict[str, list[str]]:
     return known
 
 
-def scorable(model: PipelineModel, numeric: list[str]) -> Column:
-    """True when every category was seen in training and no number is missing."""
-    conds = [F.col(c).isin(labels) for c, labels in known_categories(model).items()]
-    conds += [F.col(c).isNotNull() for c in numeric]
-    ok = conds[0]
-    for c in conds[1:]:
-        ok = ok & c
-    return F.coalesce(ok, F.lit(False))
+def with_scorable(model: PipelineModel, feats: DataFrame, numeric: list[str], out: str = "_ok") -> DataFrame:
+    """Flag rows whose categories were all seen in training and whose numbers are
+    all there, and put a known category and 0 in the place of what is not."""
+    ok = F.lit(True)
+    for stage in model.stages:
+        if isinstance(stage, StringIndexerModel):
+            cols = stage.getInputCols() if stage.isSet("inputCols") else [stage.getInputCol()]
+            keeping = stage.copy().setHandleInvalid("keep")
+            outs = [f"_{c}_index" for c in cols]
+            keeping = keeping.setOutputCols(outs) if stage.isSet("inputCols") else keeping.setOutputCol(outs[0])
+            feats = keeping.transform(feats)
+            for c, index, labels in zip(cols, outs, stage.labelsArray):
+                seen = f"_{c}_seen"
+                feats = feats.withColumn(seen, F.col(c).isNotNull() & (F.col(index) < len(labels)))
+                feats = feats.withColumn(c, F.when(F.col(seen), F.col(c)).otherwise(F.lit(labels[0])))
+                ok = ok & F.col(seen)
+    for c in numeric:
+        ok = ok & F.col(c).isNotNull()
+    feats = feats.withColumn(out, ok)
+    feats = feats.fillna(0, numeric) if numeric else feats
+    return feats.drop(*[c for c in feats.columns if c.startswith("_") and c.endswith(("_index", "_seen"))])
 
 
 def score_requests(model: PipelineModel, requests: DataFrame, as_of: str) -> DataFrame:
     """C-8: ``request_id, outcome``: 1 churns, 0 stays, -1 cannot be scored.
 
     Works unchanged on a streaming DataFrame (stateless)."""
-    feats = request_features(requests, as_of).withColumn(
-        "_ok", scorable(model, ["days_active", *NUMERIC_REQUEST_COLUMNS])
-    )
-    scored = model.transform(feats.filter("_ok")).select("request_id", F.col("prediction").cast("int").alias("outcome"))
-    rejected = feats.filter(~F.col("_ok")).select("request_id", F.lit(-1).alias("outcome"))
-    return scored.unionByName(rejected)
+    feats = with_scorable(model, request_features(requests, as_of), ["days_active", *NUMERIC_REQUEST_COLUMNS])
+    outcome = F.when(F.col("_ok"), F.col("prediction").cast("int")).otherwise(F.lit(-1))
+    return model.transform(feats).select("request_id", outcome.alias("outcome"))
 
 
 def requests_from_features(bf: DataFrame, as_of: str) -> DataFrame:

@@ -19,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
-
 # User agent strings of the activity view, by index 0..4.
 USER_AGENTS = [
     "Mozilla/5.0 (Windows NT 6.1; WOW64; rv:31.0) Gecko/20100101 Firefox/31.0",
@@ -30,22 +28,9 @@ USER_AGENTS = [
     "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/36.0 Safari/537.36",
 ]
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a DataFrame, read once per session and directory (the
-    file listing and footer read are shared by every query)."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _TABLES[key]
-
-
-def clear_tables() -> None:
-    """Forget the table and view handles (after the files were rewritten)."""
-    _TABLES.clear()
-    _VIEWS.clear()
+    """A test table as a DataFrame."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _page(event_type: Column, k: Column) -> Column:
@@ -58,6 +43,13 @@ def _page(event_type: Column, k: Column) -> Column:
     )
 
 
+def _epoch_millis(name: str) -> Column:
+    """Milliseconds since 1970 of a timestamp without a zone, its fields read as UTC."""
+    t = F.col(name).cast("timestamp_ntz")
+    second = F.floor(F.extract(F.lit("SECOND"), t) * 1000).cast("long")
+    return (F.unix_date(t.cast("date")).cast("long") * 24 + F.hour(t)) * 3_600_000 + F.minute(t) * 60_000 + second
+
+
 def _location() -> Column:
     """``NATION_n, [ZZ-]RE``: nation name, then the first two letters of the region."""
     return F.concat(
@@ -68,22 +60,8 @@ def _location() -> Column:
     )
 
 
-_VIEWS: dict[tuple[str, str], DataFrame] = {}
-
-
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw activity log (blank users included), columns as ACTIVITY_COLUMNS.
-
-    A lazy plan, analysed once per session and directory and then shared by
-    every query built on it (like a registered view)."""
-    prepare(spark)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _VIEWS:
-        _VIEWS[key] = _build_activity(spark, sf_dir)
-    return _VIEWS[key]
-
-
-def _build_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw activity log (blank users included), columns as ACTIVITY_COLUMNS."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     ev = ev.withColumn("k", F.regexp_extract("props", r"([0-9]+)", 1).try_cast("int"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -101,7 +79,8 @@ def _build_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") == 99, F.lit("")).otherwise(F.col("user_id").cast("string")).alias("userId"),
         (F.col("user_id") * 100 + F.dayofmonth("ts")).cast("long").alias("sessionId"),
         (F.col("event_id") % 50).alias("itemInSession"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+        # a timestamp without a zone is read as UTC, whatever the session zone
+        _epoch_millis("ts").alias("ts"),
         page.alias("page"),
         F.when(page == "Cancellation Confirmation", "Cancelled").otherwise("Logged In").alias("auth"),
         F.when(F.col("k") < 50, "free").otherwise("paid").alias("level"),

@@ -39,9 +39,11 @@ def start_scoring(
     as_of: str,
     available_now: bool = False,
     processing_time: str = "30 seconds",
+    max_files: int | None = None,
 ) -> StreamingQuery:
-    """Start the scoring query: files in ``source`` -> parquet in ``sink``."""
-    scored = score_stream(model, request_stream(spark, source), as_of)
+    """Start the scoring query: files in ``source`` -> parquet in ``sink``, at
+    most ``max_files`` of them in a micro-batch."""
+    scored = score_stream(model, request_stream(spark, source, max_files=max_files), as_of)
     writer = scored.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()

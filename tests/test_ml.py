@@ -75,13 +75,14 @@ def test_random_split_complete(spark):
 def test_model_job_from_json_log(spark, tmp_path):
     from activity_engine.jobs import build_model_job
     from activity_engine.sources.fixtures import activity
+    from activity_engine.sources.schema import load_model
 
     src, dst = str(tmp_path / "events"), str(tmp_path / "model")
     activity(spark, SMALL).write.json(src)
     report = {r.split: r for r in build_model_job(spark, src, dst, "2025-01-01", num_trees=5).collect()}
     assert set(report) == {"train", "test", "validation"}
     assert sum(r.n for r in report.values()) == 15
-    assert set(SC.known_categories(ML.load_pipeline(dst))) == {"gender", "last_level", "last_state"}
+    assert set(SC.known_categories(load_model(dst))) == {"gender", "last_level", "last_state"}
 
 
 def test_stream_restart_scores_only_new_files(spark, tmp_path):
