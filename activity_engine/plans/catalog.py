@@ -264,7 +264,7 @@ def q_timeline_tail(spark, d):
     "top_locations",
     sql(
         "SELECT location, count(DISTINCT userId) AS count_users FROM clean GROUP BY location "
-        "ORDER BY count_users DESC, location LIMIT 5",
+        "ORDER BY count_users DESC, location NULLS FIRST LIMIT 5",
         *CLEAN_CTES,
     ),
 )
@@ -578,8 +578,8 @@ for _col in ["gender", "level"]:
 
 # ---------------------------------------------------------------- per-user features
 
-PAGE_COLS_SQL = ", ".join(f"count(*) FILTER (WHERE page = '{p}') AS \"{p}\"" for p in FE.PIVOT_PAGES)
-PAGE_SUM_SQL = " + ".join(f"count(*) FILTER (WHERE page = '{p}')" for p in FE.PIVOT_PAGES)
+PAGE_COLS_SQL = ", ".join(f"count(*) FILTER (WHERE page = '{p}') AS \"{p}\"" for p in O.PAGES)
+PAGE_SUM_SQL = " + ".join(f"count(*) FILTER (WHERE page = '{p}')" for p in O.PAGES)
 
 
 @register(
@@ -700,7 +700,7 @@ def _dict_sql(col: str, src: str = "dims") -> str:
     )
 
 
-CODES_SQL = "codes AS (" + " UNION ALL ".join(_dict_sql(c) for c in FE.CATEGORICAL_FEATURES) + ")"
+CODES_SQL = "codes AS (" + " UNION ALL ".join(_dict_sql(c) for c in O.CATEGORIES) + ")"
 LATEST_DIMS_SQL = (
     "ldims AS (SELECT * FROM (SELECT d.*, ROW_NUMBER() OVER (PARTITION BY userId ORDER BY ts DESC, sessionId DESC, "
     "itemInSession DESC, page DESC, level DESC) AS rn2 FROM dims d) WHERE rn2 = 1)"
@@ -708,7 +708,7 @@ LATEST_DIMS_SQL = (
 CATEGORICAL_SQL = (
     "cat AS (SELECT x.userId, "
     + ", ".join(
-        f"(SELECT code FROM codes WHERE \"column\" = '{c}' AND value = x.{c}) AS {c}" for c in FE.CATEGORICAL_FEATURES
+        f"(SELECT code FROM codes WHERE \"column\" = '{c}' AND value = x.{c}) AS {c}" for c in O.CATEGORIES
     )
     + " FROM ldims x)"
 )
@@ -727,7 +727,7 @@ def q_categorical_features(spark, d):
 
 NUM_COLS_SQL = (
     "average_length, stddev_length, max_length, min_length, "
-    + ", ".join(f'"{p}"' for p in FE.PIVOT_PAGES)
+    + ", ".join(f'"{p}"' for p in O.PAGES)
     + ", sum_pages, unique_songs, total_songs, unique_artists, month_percentage, hour_percentage"
 )
 NUMERICAL_SQL = (
@@ -754,9 +754,9 @@ def q_numerical_features(spark, d):
 
 TRAINING_SQL = (
     "train AS (SELECT userId, "
-    + ", ".join(f"coalesce(CAST({c} AS INTEGER), 0) AS {c}" for c in FE.CATEGORICAL_FEATURES)
+    + ", ".join(f"coalesce(CAST({c} AS INTEGER), 0) AS {c}" for c in O.CATEGORIES)
     + ", "
-    + ", ".join(f'coalesce(CAST("{c}" AS FLOAT), 0) AS "{c}"' for c in FE.NUMERICAL_FEATURES)
+    + ", ".join(f'coalesce(CAST("{c}" AS FLOAT), 0) AS "{c}"' for c in O.NUMBERS)
     + ", CAST(churn AS INTEGER) AS Churn FROM cat JOIN num USING (userId) JOIN labels USING (userId))"
 )
 TRAIN_CTES = (*CAT_CTES, NUMERICAL_SQL, TRAINING_SQL)
@@ -864,17 +864,17 @@ def q_l1_features(spark, d):
     return entries.withColumn("value", F.round("value", 9))
 
 
-N_SCALED = len(FE.CATEGORICAL_FEATURES) + len(FE.NUMERICAL_FEATURES)
+N_SCALED = len(O.CATEGORIES) + len(O.NUMBERS)
 _STATS_SQL = "st AS (SELECT " + ", ".join(
     f'avg(CAST("{c}" AS DOUBLE)) AS m{i}, stddev_samp(CAST("{c}" AS DOUBLE)) AS s{i}'
-    for i, c in enumerate(FE.NUMERICAL_FEATURES)
+    for i, c in enumerate(O.NUMBERS)
 ) + " FROM train)"
 _SCALED_COLS_SQL = ", ".join(
-    [f"CAST({c} AS DOUBLE) AS f_{i:02d}" for i, c in enumerate(FE.CATEGORICAL_FEATURES)]
+    [f"CAST({c} AS DOUBLE) AS f_{i:02d}" for i, c in enumerate(O.CATEGORIES)]
     + [
         f'round(CASE WHEN s{i} = 0 THEN 0 ELSE (CAST("{c}" AS DOUBLE) - m{i}) / s{i} END, 6) + CAST(0 AS DOUBLE) '
-        f"AS f_{i + len(FE.CATEGORICAL_FEATURES):02d}"
-        for i, c in enumerate(FE.NUMERICAL_FEATURES)
+        f"AS f_{i + len(O.CATEGORIES):02d}"
+        for i, c in enumerate(O.NUMBERS)
     ]
 )
 

@@ -21,24 +21,24 @@ activity AS (
     e.page,
     CASE WHEN e.page = 'Cancellation Confirmation' THEN 'Cancelled' ELSE 'Logged In' END AS auth,
     CASE WHEN e.k < 50 THEN 'free' ELSE 'paid' END AS level,
-    CASE WHEN e.user_id % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
-    n.n_name || ', ' || CASE WHEN n.n_nationkey % 3 = 0 THEN 'ZZ-' ELSE '' END || substr(r.r_name, 1, 2) AS location,
-    CASE (e.user_id + e.k) % 5
+    CASE WHEN e.user_id % 17 = 0 AND e.k % 2 = 0 THEN NULL WHEN e.user_id % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
+    CASE WHEN e.user_id % 19 = 0 AND e.k >= 50 THEN NULL ELSE n.n_name || ', ' || CASE WHEN n.n_nationkey % 3 = 0 THEN 'ZZ-' ELSE '' END || substr(r.r_name, 1, 2) END AS location,
+    CASE WHEN e.user_id % 11 = 0 THEN 'curl/7.64.1' ELSE CASE (e.user_id + e.k) % 5
       WHEN 0 THEN 'Mozilla/5.0 (Windows NT 6.1; WOW64; rv:31.0) Gecko/20100101 Firefox/31.0'
       WHEN 1 THEN 'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_9_4) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/36.0 Safari/537.36'
       WHEN 2 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 7_1_2 like Mac OS X) AppleWebKit/537.51 (KHTML, like Gecko) Version/7.0 Safari/9537.53'
       WHEN 3 THEN 'Mozilla/5.0 (compatible; MSIE 9.0; Windows NT 6.1; Trident/5.0)'
       ELSE 'Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/36.0 Safari/537.36'
-    END AS userAgent,
-    CASE WHEN e.event_type = 'click' THEN concat('song_', CAST(e.event_id % 200 AS VARCHAR)) END AS song,
-    CASE WHEN e.event_type = 'click' THEN concat('artist_', CAST(e.event_id % 60 AS VARCHAR)) END AS artist,
-    CASE WHEN e.event_type = 'click' THEN e.value END AS length
+    END END AS userAgent,
+    CASE WHEN e.page = 'NextSong' AND e.event_id % 97 <> 0 THEN concat('song_', CAST(e.event_id % 200 AS VARCHAR)) END AS song,
+    CASE WHEN e.page = 'NextSong' THEN concat('artist_', CAST(e.event_id % 60 AS VARCHAR)) END AS artist,
+    CASE WHEN e.page = 'NextSong' THEN e.value END AS length
   FROM (
     SELECT ev.*,
       CASE
         WHEN ev.event_type = 'error' THEN CASE WHEN ev.k IN (95, 96) THEN 'Cancellation Confirmation'
                                             WHEN ev.k < 10 THEN 'Thumbs Down' ELSE 'Roll Advert' END
-        WHEN ev.event_type = 'click' THEN 'NextSong'
+        WHEN ev.event_type = 'click' THEN CASE WHEN ev.user_id % 13 = 0 THEN 'Home' ELSE 'NextSong' END
         WHEN ev.event_type = 'view' THEN CASE WHEN ev.k < 40 THEN 'Thumbs Up' WHEN ev.k < 70 THEN 'Add to Playlist' ELSE 'Logout' END
         WHEN ev.event_type = 'signup' THEN CASE WHEN ev.k < 20 THEN 'Add Friend' WHEN ev.k < 60 THEN 'Help' ELSE 'Home' END
         WHEN ev.event_type = 'purchase' THEN CASE WHEN ev.k < 50 THEN 'Downgrade' ELSE 'Settings' END
@@ -48,8 +48,19 @@ activity AS (
   JOIN customer c ON e.user_id = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
+  WHERE NOT (e.user_id % 23 = 0 AND hour(e.ts) > 12) AND NOT (e.user_id % 29 = 0 AND day(e.ts) <= 15)
 )"""
 
+# The feature lists, spelled out here a second time so that a gap in the
+# engine's lists shows as a difference.
+PAGES = ["NextSong", "Thumbs Up", "Downgrade", "Add to Playlist", "Add Friend", "Roll Advert", "Help", "Logout"]
+CATEGORIES = ["gender", "level", "browser", "platform"]
+NUMBERS = [
+    "average_length", "stddev_length", "max_length", "min_length",
+    "NextSong", "Thumbs Up", "Downgrade", "Add to Playlist", "Add Friend", "Roll Advert", "Help", "Logout",
+    "sum_pages", "unique_songs", "total_songs", "unique_artists", "month_percentage", "hour_percentage",
+]
+
 # Cleaned rows plus the time parts the notebook derives (UTC).
 CLEAN = """
 clean AS (

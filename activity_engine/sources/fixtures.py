@@ -27,6 +27,8 @@ USER_AGENTS = [
     "Mozilla/5.0 (compatible; MSIE 9.0; Windows NT 6.1; Trident/5.0)",
     "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/36.0 Safari/537.36",
 ]
+UNKNOWN_AGENT = "curl/7.64.1"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table as a DataFrame."""
@@ -72,22 +74,27 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    page = _page(F.col("event_type"), F.col("k"))
-    play = F.col("event_type") == "click"
+    user, hour, day = F.col("user_id"), F.hour("ts"), F.dayofmonth("ts")
+    # some users without late or early events (T-4), plays (T-3), gender, place or a known agent (T-2)
+    kept = joined.filter(~((user % 23 == 0) & (hour > 12)) & ~((user % 29 == 0) & (day <= 15)))
+    silent = user % 13 == 0
+    page = F.when((F.col("event_type") == "click") & silent, F.lit("Home")).otherwise(_page(F.col("event_type"), F.col("k")))
+    play = (F.col("event_type") == "click") & ~silent
     agents = F.array(*[F.lit(a) for a in USER_AGENTS])
-    return joined.select(
-        F.when(F.col("k") == 99, F.lit("")).otherwise(F.col("user_id").cast("string")).alias("userId"),
-        (F.col("user_id") * 100 + F.dayofmonth("ts")).cast("long").alias("sessionId"),
+    return kept.select(
+        F.when(F.col("k") == 99, F.lit("")).otherwise(user.cast("string")).alias("userId"),
+        (user * 100 + day).cast("long").alias("sessionId"),
         (F.col("event_id") % 50).alias("itemInSession"),
         # a timestamp without a zone is read as UTC, whatever the session zone
         _epoch_millis("ts").alias("ts"),
         page.alias("page"),
         F.when(page == "Cancellation Confirmation", "Cancelled").otherwise("Logged In").alias("auth"),
         F.when(F.col("k") < 50, "free").otherwise("paid").alias("level"),
-        F.when(F.col("user_id") % 2 == 0, "F").otherwise("M").alias("gender"),
-        _location().alias("location"),
-        F.get(agents, ((F.col("user_id") + F.col("k")) % 5).cast("int")).alias("userAgent"),
-        F.when(play, F.concat(F.lit("song_"), (F.col("event_id") % 200).cast("string"))).alias("song"),
+        F.when((user % 17 == 0) & (F.col("k") % 2 == 0), F.lit(None)).when(user % 2 == 0, "F").otherwise("M").alias("gender"),
+        F.when((user % 19 == 0) & (F.col("k") >= 50), F.lit(None)).otherwise(_location()).alias("location"),
+        F.when(user % 11 == 0, F.lit(UNKNOWN_AGENT)).otherwise(F.get(agents, ((user + F.col("k")) % 5).cast("int"))).alias("userAgent"),
+        # some plays without a song (T-9)
+        F.when(play & (F.col("event_id") % 97 != 0), F.concat(F.lit("song_"), (F.col("event_id") % 200).cast("string"))).alias("song"),
         F.when(play, F.concat(F.lit("artist_"), (F.col("event_id") % 60).cast("string"))).alias("artist"),
         F.when(play, F.col("value")).alias("length"),
     )

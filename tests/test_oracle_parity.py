@@ -28,4 +28,4 @@ def test_entry_smoke(spark):
         "userId", "gender", "churn", "last_level", "days_active", "last_state",
         "avg_songs", "avg_events", "thumbs_up", "thumbs_down", "addfriend",
     ]
-    assert df.count() == 15
+    assert df.count() == 13  # two of 15 users drop out: one without plays, one without a place or gender

@@ -39,6 +39,44 @@ def test_event_scan_is_pruned_and_filtered(spark):
     assert "PushedFilters: [IsNotNull(user_id)]" in scan
 
 
+def scans(p: str) -> int:
+    return p.count("events.parquet]")
+
+
+@pytest.mark.parametrize("name", [q for q in PLAN_QUERIES if q.startswith("scaled_") and q != "scaled_features"])
+def test_scaled_crosstabs_scan_the_events_once_and_write_nothing(spark, name):
+    p = plan(entry.queries()[name](spark, SMALL))
+    assert scans(p) == 1, p
+
+
+@pytest.mark.parametrize("name", ["categorical_features", "training_set"])
+def test_frames_that_are_written_scan_the_events_once(spark, name, monkeypatch):
+    written = []
+    keep = FE.materialize
+    monkeypatch.setattr(FE, "materialize", lambda df, table: written.append(plan(df)) or keep(df, table))
+    entry.queries()[name](spark, SMALL)
+    assert len(written) == 1 and scans(written[0]) == 1
+    assert "CartesianProduct" not in written[0] and "EvalPython" not in written[0] and "partial_max" in written[0]
+
+
+def test_length_by_churn_and_churned_events_do_not_join_events(spark):
+    p = plan(entry.queries()["length_by_churn"](spark, SMALL))
+    assert scans(p) == 1
+    p = plan(entry.queries()["churned_events"](spark, SMALL))
+    assert "LeftSemi" in p
+
+
+def test_scoring_reads_its_input_once(spark):
+    from activity_engine.plans import ml as ML
+    from activity_engine.plans import score as SC
+    from activity_engine.plans.catalog import batch_features
+
+    bf = batch_features(spark, SMALL)
+    model, _ = ML.build_churn_model(bf, seed=1, num_trees=3)
+    p = plan(SC.score_requests(model, SC.requests_from_features(bf, "2025-01-01"), "2025-01-01"))
+    assert scans(p) == 1 and "Union" not in p
+
+
 def test_crosstab_window_only_after_aggregate(spark):
     p = plan(entry.queries()["events_by_churn_hour"](spark, SMALL))
     lines = p.splitlines()
