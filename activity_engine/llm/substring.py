@@ -67,9 +67,17 @@ def winnow(words: Words, min_words: int, seed: int) -> tuple[np.ndarray, np.ndar
     return _sliding(grams, span, np.minimum)[inside], at[: len(at) - span + 1][inside]
 
 
-def _seeds(min_words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _unlike(batches: Iterator[pa.RecordBatch], skip: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """The rows whose key is not in the bitmap ``skip`` (all without one)."""
+    for batch in batches:
+        if skip is not None:
+            batch = batch.filter(pa.array(~bitmap.contains(skip.value, batch.column(KEY).to_numpy())))
+        yield batch
+
+
+def _seeds(min_words: int, seed: int, skip: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unlike(batches, skip):
             for part in slices(batch, "text"):
                 words = split_words(part.column("text"))
                 least, at = winnow(words, min_words, seed)
@@ -82,12 +90,12 @@ def _seeds(min_words: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def _windows(min_words: int, seed: int, shared: Broadcast, again: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows(min_words: int, seed: int, skip: Broadcast | None, shared: Broadcast, again: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Fingerprints of the windows whose seed is shared; on the second run only
     of those that ``again`` holds, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unlike(batches, skip):
             for part in slices(batch, "text"):
                 words = split_words(part.column("text"))
                 least, start = winnow(words, min_words, seed)
@@ -120,11 +128,12 @@ def covered(n_words: int, starts: np.ndarray, min_words: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _only(marked: Broadcast, inside: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _hit(marked: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows whose key may be in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = bitmap.contains(marked.value, batch.column(KEY).to_numpy())
-            yield batch.filter(pa.array(hit == inside))
+            yield batch.filter(pa.array(bitmap.contains(marked.value, batch.column(KEY).to_numpy())))
 
     return run
 
@@ -139,9 +148,9 @@ def _cut_text(text: bytes, gone: np.ndarray, start: np.ndarray, end: np.ndarray)
     return b" ".join(text[start[a] : end[b]] for a, b in zip(first, last, strict=True))
 
 
-def _cut(min_words: int, report: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(min_words: int, report: bool, skip: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unlike(batches, skip):
             for part in slices(batch, "text"):
                 yield from _cut_slice(part)
 
@@ -205,18 +214,20 @@ def _marks(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     # The bitmap tells most other rows at once, the join the few it confuses.
     copies = _copies(known, scratch)
     copied = bitmap.build(copies, KEY)
-    confused = scratch.table(known.mapInArrow(_only(copied, True), known.schema).join(copies, ["doc_id", KEY], "left_anti").select(*known.columns), "confused")
-    own = known.mapInArrow(_only(copied, False), known.schema).unionByName(confused)
+    confused = scratch.table(known.mapInArrow(_hit(copied), known.schema).join(copies, ["doc_id", KEY], "left_anti").select(*known.columns), "confused")
+
+    def own(function: Callable, *args: object, schema: str) -> DataFrame:
+        return known.mapInArrow(function(min_words, seed, copied, *args), schema).unionByName(confused.mapInArrow(function(min_words, seed, None, *args), schema))
 
-    seeds = own.mapInArrow(_seeds(min_words, seed), "seed long, doc_id long")
+    seeds = own(_seeds, schema="seed long, doc_id long")
     common = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     shared = bitmap.build(scratch.table(common.select("seed"), "seeds"), "seed")
 
-    first = own.mapInArrow(_windows(min_words, seed, shared, None), "w1 long, w2 long, doc_id long")
+    first = own(_windows, shared, None, schema="w1 long, w2 long, doc_id long")
     lows = first.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
     lows = scratch.table(lows, "windows")
     again = bitmap.build(lows, "w1")
-    places = own.mapInArrow(_windows(min_words, seed, shared, again), f"w1 long, w2 long, doc_id long, {KEY} long, start int")
+    places = own(_windows, shared, again, schema=f"w1 long, w2 long, doc_id long, {KEY} long, start int")
     later = places.join(lows, ["w1", "w2"]).filter("doc_id > lo")
     # equal rows make equal marks: a set, at most one entry a word of the text
     marks = later.groupBy("doc_id", KEY).agg(F.collect_set("start").alias(STARTS))
@@ -231,11 +242,11 @@ def _apply(docs: DataFrame, min_words: int, report: bool, scratch: Scratch) -> D
     else:
         texts = docs.withColumn(KEY, _row_key())
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>" if report else docs.schema
-    plain = texts.mapInArrow(_only(marked, False), texts.schema).withColumn(STARTS, F.lit(None).cast("array<int>"))
-    hit = texts.mapInArrow(_only(marked, True), texts.schema)
+    plain = texts.withColumn(STARTS, F.lit(None).cast("array<int>")).mapInArrow(_cut(min_words, report, marked), out)
+    hit = texts.mapInArrow(_hit(marked), texts.schema)
     on = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col(KEY) == F.col("_key"))
     hit = hit.join(marks.select(F.col("doc_id").alias("_doc"), F.col(KEY).alias("_key"), STARTS), on, "left").drop("_doc", "_key")
-    return plain.mapInArrow(_cut(min_words, report), out).unionByName(hit.mapInArrow(_cut(min_words, report), out))
+    return plain.unionByName(hit.mapInArrow(_cut(min_words, report, None), out))
 
 
 def repeat_report(docs: DataFrame, min_words: int = 50) -> DataFrame:
