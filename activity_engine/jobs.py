@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.clean import clean_events
 from .operators.features import behaviour_features
 from .plans.ml import build_churn_model, materialize
-from .session import prepare
+from .session import drop_intermediates, prepare
 from .sources.schema import read_events
 
 
@@ -29,8 +29,12 @@ def build_model_job(
     prepare(spark)
     events = clean_events(read_events(spark, src, fmt))
     features = materialize(behaviour_features(events, as_of), "model_job_features")
-    _, report = build_churn_model(features, seed=seed, num_trees=num_trees, dst=dst, overwrite=overwrite)
-    return report
+    try:
+        _, report = build_churn_model(features, seed=seed, num_trees=num_trees, dst=dst, overwrite=overwrite)
+        rows = report.collect()  # one row a split
+        return spark.createDataFrame(rows, report.schema)
+    finally:
+        drop_intermediates(spark)
 
 
 def main(argv: list[str] | None = None) -> None:

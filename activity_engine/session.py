@@ -86,16 +86,30 @@ def local_session(cores: int = 8, app: str = "activity-engine", **extra: str) ->
     return prepare(spark)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str = "table", unique: bool = True) -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and read
     it back: the plan runs once, later readers see a table with no lineage
     behind it (a lost executor costs a re-read).  ``unique`` gives every call
     its own folder, so a lazily read result is never overwritten by a later
-    call."""
+    call.  ``drop_intermediates`` deletes these tables once their readers are
+    done."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}/{uuid.uuid4().hex}" if unique else name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete what ``materialize`` wrote in this application so far; frames that
+    still read those tables must have been used.  Returns how many went."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

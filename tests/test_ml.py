@@ -80,7 +80,7 @@ def test_model_job_from_json_log(spark, tmp_path):
     src, dst = str(tmp_path / "events"), str(tmp_path / "model")
     activity(spark, SMALL).write.json(src)
     report = {r.split: r for r in build_model_job(spark, src, dst, "2025-01-01", num_trees=5).collect()}
-    assert set(report) == {"train", "test", "validation"}
+    assert {"train"} <= set(report) <= {"train", "test", "validation"}  # a split of 13 users may be empty
     assert sum(r.n for r in report.values()) == 13
     assert set(SC.known_categories(load_model(dst))) == {"gender", "last_level", "last_state"}
 
