@@ -8,13 +8,13 @@ Candidates whose signatures agree too little are dropped (bound 4.5 standard
 deviations below the threshold), the others are confirmed on their full sets,
 and the confirmed links go to alternating large-star and small-star.
 
-No bucket is expanded into pairs.  Round one links each bucket's members to
-its smallest id only.  Round two takes the families (documents connected by
-buckets) that still hold several components and compares their members in
-numpy, block by block, confirming on the full sets in the task: only pairs of
-different components that share a band are looked at, and what comes out is
-at most one link for each component.  Members already connected need no
-comparison, so no link that could change a component is left out.  With 28 bands of 4 minima a pair at similarity 0.8 shares no band with
+No bucket is expanded into pairs.  A bucket's members are tied to its
+smallest id, and the components of these ties are families: every pair that
+shares a band lies in one family.  A family's members meet in numpy, block by
+block, and are confirmed on the full sets inside the task; members already
+connected need no comparison, so no link that could change a component is
+left out, and what comes out is at most one link a document and block.
+With 28 bands of 4 minima a pair at similarity 0.8 shares no band with
 probability 4e-7.
 
 Cases: null or blank text and texts without words have ``n_shingles`` 0, link
@@ -112,16 +112,6 @@ def _sets(size: int, wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _agreeing(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("sig_a", "sig_b"))
-            near = (a == b).sum(axis=1) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    return run
-
-
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Are two sorted sets at least ``percent`` similar?"""
     if len(x) > len(y):
@@ -132,26 +122,17 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("grams_a"), batch.column("grams_b"), strict=True)
-            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in pairs]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _join_blocks(least: int, percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Links between different components of one pair of blocks of a family.
+    """Links inside one pair of blocks of a family.
 
     A pair is looked at if it shares a band and its signatures agree, and
-    confirmed on the full sets; components that a link has joined are one from
-    then on, so at most one link for each component comes out."""
+    confirmed on the full sets; documents that links have joined are one
+    component from then on and are not compared again, so what comes out is at
+    most one link a document."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp, side = (table[c].to_numpy() for c in ("id", "comp", "side"))
-        _, comp = np.unique(comp, return_inverse=True)
+        ids, side = (table[c].to_numpy() for c in ("id", "side"))
+        _, comp = np.unique(ids, return_inverse=True)
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, MINIMA)
         grams = table["grams"].to_pylist()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
@@ -202,48 +183,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         sets = scratch.table(
             known.mapInArrow(_sets(shingle, wanted), "id long, grams binary").join(members.select("id").distinct(), "id", "left_semi"), "sets"
         )
-        least = least_agreement(percent)
-
-        def confirm(pairs: DataFrame, name: str) -> DataFrame:
-            near = (
-                pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-                .join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-                .mapInArrow(_agreeing(least), "a long, b long")
-            )
-            full = near.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(
-                sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b"
-            )
-            return scratch.table(full.mapInArrow(_confirmed(percent), "a long, b long"), name)
-
-        stars = scratch.table(members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-        first = confirm(stars, "links-1")
-        joined = scratch.table(components(first, scratch, "first"), "first")
-
+        stars = members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         family = components(stars, scratch, "family").withColumnsRenamed({"node": "id", "component": "family"})
-        placed = (
-            family.join(joined.withColumnsRenamed({"node": "id"}), "id", "left")
-            .join(sets.select("id", F.length("grams").alias("bytes")), "id")
-            .select("family", "id", F.coalesce("component", "id").alias("comp"), "bytes")
-        )
-        mixed = placed.groupBy("family").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")
-        )
-        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-        mixed = mixed.filter("lo < hi AND n > 2").select("family", blocks.alias("blocks"))
+        placed = scratch.table(family.join(reps, "id").join(sets, "id").select("family", "id", "sig", "grams"), "families")
+        size = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("grams")).alias("bytes"))
+        size = size.select("family", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        dealt = placed.join(mixed, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = placed.join(size, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select(
             "family",
             F.least("block", "other").alias("i"),
             F.greatest("block", "other").alias("j"),
             (F.col("block") > F.col("other")).cast("int").alias("side"),
             "id",
-            "comp",
+            "sig",
+            "grams",
         )
-        dealt = dealt.join(reps, "id").join(sets, "id")
-        second = scratch.table(dealt.groupBy("family", "i", "j").applyInArrow(_join_blocks(least, percent), "a long, b long"), "links-2")
-        links = first.unionByName(second).unionByName(copies)
-        nodes = components(links, scratch, "all")
+        confirm = _join_blocks(least_agreement(percent), percent)
+        close = scratch.table(dealt.groupBy("family", "i", "j").applyInArrow(confirm, "a long, b long"), "links")
+        nodes = components(close.unionByName(copies), scratch, "all")
         out = base.select("doc_id", "n_shingles").join(nodes.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left")
         out = out.select(
             "doc_id",
