@@ -62,14 +62,22 @@ def length_by_churn(a: DataFrame) -> DataFrame:
     One scan and one shuffle of events: per user the count, mean, sum of
     squared deviations, extremes and the cancel flag, then the users of a
     class are merged (sum of deviations inside users and between their means)."""
-    users = a.groupBy("userId").agg(
-        F.max(cancel_flag()).cast("int").alias("churn"),
+    return merge_lengths(a.groupBy("userId").agg(F.max(cancel_flag()).cast("int").alias("churn"), *length_sums()))
+
+
+def length_sums() -> list[Column]:
+    """Per user: what ``merge_lengths`` needs of the play lengths."""
+    return [
         F.count("length").alias("n"),
         F.avg("length").alias("mean"),
         (F.var_pop("length") * F.count("length")).alias("inside"),
         F.min("length").alias("low"),
         F.max("length").alias("high"),
-    )
+    ]
+
+
+def merge_lengths(users: DataFrame) -> DataFrame:
+    """Length statistics per churn class from per-user sums."""
     n = F.sum("n").cast("double")
     mean = F.sum(F.col("n") * F.col("mean")) / n
     stats = users.filter(F.col("n") > 0).groupBy("churn").agg(

@@ -106,16 +106,17 @@ def level_changers(a: DataFrame, out: str = "n_users") -> DataFrame:
     return per_user.agg(F.count_if(F.col("_levels") > 1).alias(out))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 20, bounds: DataFrame | None = None) -> DataFrame:
     """A-21: equal-width histogram of a numeric column (nulls left out), one row
     for every bin, empty ones too; a column without values has no bins.
 
+    ``bounds`` is a one-row frame (lo, hi) where the range is known already.
     The global min and max are scalar subqueries (one small job, a single
     value each); rows are bucketed with ``floor`` and the maximum is clamped
     into the last bin.  One partial aggregate, one tiny shuffle.
     """
     vals = df.select(F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    stats = vals.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    stats = vals.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")) if bounds is None else bounds
     lo = stats.select("lo").scalar()
     hi = stats.select("hi").scalar()
     width = (hi - lo) / F.lit(float(bins))

@@ -1176,3 +1176,38 @@ def q_plays(spark, d):
 def q_churned_events(spark, d):
     """P-5: rows of churned users."""
     return CH.events_of_churned(clean(spark, d).select("userId", "ts", "page")).select("userId", "ts", "page")
+
+
+# ---------------------------------------------------------------- the report as one table
+
+
+def _report_sql() -> str:
+    """The long table from the statements of the single queries."""
+    one = lambda q, table, key, value: f"SELECT '{table}' AS \"table\", {key} AS key, CAST({value} AS DOUBLE) AS value FROM ({ORACLES[q]})"
+    text = lambda c: f"coalesce(CAST({c} AS VARCHAR), '-')"
+    parts = [one(f"users_by_{c.lower() if c == 'userAgent' else c}", f"users_by_{c}", text(f'"{c}"'), "count_users") for c in ["auth", "gender", "level", "location"]]
+    parts.append("SELECT 'users_by_userAgent', userAgent, CAST(n AS DOUBLE) FROM (" + sql("SELECT userAgent, count(DISTINCT userId) AS n FROM clean GROUP BY userAgent", *CLEAN_CTES) + ")")
+    parts.append(one("events_by_page", "events_by_page", "page", "count_users"))
+    for c in ["hour", "day", "weekday"]:
+        parts.append(f"SELECT 'events_by_{c}', CAST({c} AS VARCHAR), CAST(n AS DOUBLE) FROM (" + sql(f"SELECT {c}, count(*) AS n FROM clean GROUP BY {c}", *CLEAN_CTES) + ")")
+    parts += [one(f"{c}_rollup", f"{c}_rollup", c, "count_users") for c in ["state", "browser", "platform"]]
+    parts += [one(f"events_by_churn_{c}", f"events_by_churn_{c}", f"concat(churn, '|', {text(c)})", "count") for c in EVENT_DIMS]
+    parts += [one(f"churn_by_{c}", f"churn_by_{c}", f"concat(churn, '|', {text(c)})", "count") for c in USER_DIMS]
+    parts += [one(f"ztest_{c}", f"ztest_{c}", f"'{v}'", v) for c in ["gender", "level"] for v in ["z", "p_value"]]
+    parts += [one("length_by_churn", "length_by_churn", f"concat(churn, '|{c}')", f"round({c}, 6)") for c in ["mean_length", "stddev_length", "minimum_length", "maximum_length"]]
+    parts.append("SELECT 'row_count', 'events', CAST(n AS DOUBLE) FROM (" + sql("SELECT count(*) AS n FROM clean", *CLEAN_CTES) + ")")
+    parts += [
+        one("distinct_users", "distinct_users", "'users'", "unique_users"),
+        one("level_changers", "level_changers", "'users'", "n_users"),
+        one("churn_counts", "churn_counts", "CAST(churn AS VARCHAR)", "n_users"),
+        one("length_histogram", "length_histogram", "CAST(bin AS VARCHAR)", "n"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@register("report", _report_sql())
+def q_report(spark, d):
+    """C-10: the exploration report from shared aggregates."""
+    from .report import report_table
+
+    return report_table(raw(spark, d))

@@ -1,9 +1,17 @@
 """Exploration report (C-10): the tables behind every notebook plot and
-printout, returned as named DataFrames (lazy; nothing is collected here)."""
+printout.
+
+``explore`` returns them as named lazy frames, each with its own plan.
+``report_table`` returns them all as one long table from three scans of the
+events: cells (events per user and value of each dimension, one shuffle),
+users (one row each), and the length histogram.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -11,6 +19,7 @@ from ..operators import churn as CH
 from ..operators import clean as CL
 from ..operators import crosstab as CT
 from ..operators import profile as PR
+from ..session import materialize
 
 
 def explore(raw: DataFrame, top: int = 5, bins: int = 20) -> dict[str, DataFrame]:
@@ -56,3 +65,70 @@ def scaled(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
     names = [k for k in report if k.startswith("churn_by_") and k[9:] in ("city", "state")]
     names += [k for k in report if k.startswith("events_by_churn_")]
     return {f"scaled_{k.rsplit('_', 1)[-1]}": CT.scaled_crosstab(report[k], k.rsplit("_", 1)[-1], classes=[0, 1]) for k in names}
+
+
+EVENT_CELLS = ["page", "hour", "day", "weekday"]
+USER_CELLS = ["auth", "gender", "level", "location", "userAgent"]
+
+
+def _cells(a: DataFrame) -> DataFrame:
+    """(userId, dim, value, n): events per user and value of every dimension."""
+    values = {"hour": X.hour_of("ts"), "day": X.day_of("ts"), "weekday": X.weekday_of("ts")}
+    each = [F.struct(F.lit(d).alias("dim"), values.get(d, F.col(d)).cast("string").alias("value")) for d in USER_CELLS + EVENT_CELLS]
+    return a.select("userId", F.explode(F.array(*each)).alias("c")).groupBy("userId", "c.dim", "c.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _long(df: DataFrame, table: Column | str, key: list, value: Column) -> DataFrame:
+    """(table, key, value); key columns joined by ``|``, a null shown as ``-``."""
+    name = F.lit(table) if isinstance(table, str) else table
+    keys = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("-")) for k in key]
+    return df.select(name.alias("table"), F.concat_ws("|", *keys).alias("key"), value.cast("double").alias("value"))
+
+
+def report_table(raw: DataFrame, bins: int = 20) -> DataFrame:
+    """C-10 as one long table (table, key, value)."""
+    a = CL.clean_events(raw)
+    cells = materialize(_cells(a), "report_cells")
+    users = materialize(
+        a.groupBy("userId").agg(
+            F.max(CH.cancel_flag()).cast("int").alias("churn"), *CT.length_sums(), F.count(F.lit(1)).alias("events"), CH.last_event(a).alias("last")
+        ),
+        "report_users",
+    )
+    dim = F.col("dim")
+    per_value = cells.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("events"))
+    parts = [
+        _long(per_value.filter(dim.isin(USER_CELLS)), F.concat(F.lit("users_by_"), dim), ["value"], F.col("users")),
+        _long(per_value.filter(dim.isin(EVENT_CELLS)), F.concat(F.lit("events_by_"), dim), ["value"], F.col("events")),
+    ]
+    for name, source, derive in [("state", "location", X.state_group), ("browser", "userAgent", X.browser), ("platform", "userAgent", X.platform)]:
+        rolled = per_value.filter(dim == source).withColumn(name, derive("value")).filter(F.col(name).isNotNull())
+        parts.append(_long(rolled.groupBy(name).agg(F.sum("users").alias("n")), f"{name}_rollup", [name], F.col("n")))
+
+    labelled = cells.join(users.select("userId", "churn"), "userId").groupBy("dim", "value", "churn").agg(F.sum("n").alias("n"))
+    parts.append(_long(labelled.filter(dim.isin(EVENT_CELLS)), F.concat(F.lit("events_by_churn_"), dim), ["churn", "value"], F.col("n")))
+    for name, derive in [("browser", X.browser), ("platform", X.platform)]:
+        derived = labelled.filter(dim == "userAgent").groupBy("churn", derive("value").alias(name)).agg(F.sum("n").alias("n"))
+        parts.append(_long(derived, f"events_by_churn_{name}", ["churn", name], F.col("n")))
+
+    at_last = {"auth": F.col("last.auth"), "gender": F.col("last.gender"), "level": F.col("last.level"),
+               "city": X.city("last.location"), "state": X.state_group("last.location")}
+    for name, col in at_last.items():
+        parts.append(_long(users.groupBy("churn", col.alias(name)).agg(F.count(F.lit(1)).alias("n")), f"churn_by_{name}", ["churn", name], F.col("n")))
+    for name in ["gender", "level"]:
+        test = CT.ztest_counts(users.select(at_last[name].alias(name), "churn"), name)
+        parts += [_long(test, f"ztest_{name}", [F.lit(c)], F.round(c, 6)) for c in ("z", "p_value")]
+    lengths = CT.merge_lengths(users)
+    for c in ["mean_length", "stddev_length", "minimum_length", "maximum_length"]:
+        parts.append(_long(lengths, "length_by_churn", ["churn", F.lit(c)], F.round(c, 6)))
+
+    changed = cells.filter(dim == "level").groupBy("userId").agg(F.count("value").alias("levels"))
+    parts += [
+        _long(users.agg(F.sum("events").alias("n")), "row_count", [F.lit("events")], F.col("n")),
+        _long(users.agg(F.count(F.lit(1)).alias("n")), "distinct_users", [F.lit("users")], F.col("n")),
+        _long(changed.agg(F.count_if(F.col("levels") > 1).alias("n")), "level_changers", [F.lit("users")], F.col("n")),
+        _long(CT.label_balance(users), "churn_counts", ["churn"], F.col("n_users")),
+    ]
+    bounds = users.agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
+    parts.append(_long(PR.histogram(a, "length", bins, bounds), "length_histogram", ["bin"], F.col("n")))
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -10,7 +10,8 @@ from activity_engine.operators import features as FE
 from tests.conftest import SMALL
 from tests.events import T0, events
 
-PLAN_QUERIES = [k for k in entry.oracle_sql() if k not in ("json_event_log", "feature_round_trip")]
+# the training-data operators (op*) have their own tests
+PLAN_QUERIES = [k for k in entry.oracle_sql() if k not in ("json_event_log", "feature_round_trip") and not k.startswith("op")]
 
 
 def plan(df) -> str:
