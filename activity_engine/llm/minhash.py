@@ -42,7 +42,7 @@ from .words import mix, ragged, run_hash, slices, split_words
 
 MINIMA, BANDS = 112, 28
 ROWS = MINIMA // BANDS
-BLOCK = 2048  # members of a family that are compared in one task at once
+BLOCK = 512  # members of a family that are compared in one task at once
 BLOCK_BYTES = 16 << 20  # and bytes of their sets
 
 _RANDOM = np.random.default_rng(6)
@@ -134,7 +134,7 @@ def _join_blocks(least: int, percent: int) -> Callable[[pa.Table], pa.Table]:
         ids, side = (table[c].to_numpy() for c in ("id", "side"))
         _, comp = np.unique(ids, return_inverse=True)
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, MINIMA)
-        grams = table["grams"].to_pylist()
+        grams = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
         a, b = [], []
         for i in left:
@@ -143,10 +143,11 @@ def _join_blocks(least: int, percent: int) -> Callable[[pa.Table], pa.Table]:
                 some = other[at : at + 4096]
                 some = some[comp[some] != comp[i]]
                 same = sig[some] == sig[i]
-                near = (same.sum(axis=1) >= least) & same.reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)
-                mine = np.frombuffer(grams[i], np.uint64)
-                for j in some[near]:
-                    if comp[j] != comp[i] and _alike(mine, np.frombuffer(grams[j], np.uint64), percent):
+                agree = same.sum(axis=1)
+                near = np.flatnonzero(agree >= least)
+                near = near[same[near].reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)]
+                for j in some[near[np.argsort(-agree[near], kind="stable")]]:  # the likeliest first
+                    if comp[j] != comp[i] and _alike(grams[i], grams[j], percent):
                         a.append(int(ids[i]))
                         b.append(int(ids[j]))
                         comp[comp == comp[j]] = comp[i]
