@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Words, ragged, run_hash, slices, split_words
+from .words import Words, mix, ragged, slices, split_words
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
@@ -42,7 +42,7 @@ RARE = 5e-3  # share of all words at which a word counts half in the average
 EPOCHS = 80
 RATE = 0.2
 DECAY = 5e-6
-SAMPLE = 2000  # labelled rows of a class at most
+SAMPLE = 1500  # labelled rows of a class at most
 SAMPLE_CHARS = 20_000  # longest text in the sample (texts are taken whole)
 FOLDS = 5  # ids with crc32 of 0 modulo this are held out
 
@@ -66,24 +66,24 @@ def pieces(words: Words) -> Pieces:
     _, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
     length = (words.end - words.start)[one]
     wide = length + 2
-    first = np.concatenate([[0], np.cumsum(wide)])
-    text = np.empty(int(first[-1]), dtype=np.uint64)
-    inner = ragged(first[:-1] + 1, length)
-    text[inner] = words.data[ragged(words.start[one], length)]
-    text[first[:-1]], text[first[1:] - 1] = 256, 257  # word ends
-    hashes, owner = [words.hash[one]], [np.arange(len(one))]
-    for n in GRAMS:
-        count = np.maximum(wide - n + 1, 0)
-        at = ragged(first[:-1], count)
-        gram = np.zeros(len(at), dtype=np.uint64)
+    begin = np.concatenate([[0], np.cumsum(wide)])
+    text = np.empty(int(begin[-1]), dtype=np.uint16)
+    text[ragged(begin[:-1] + 1, length)] = words.data[ragged(words.start[one], length)]
+    text[begin[:-1]], text[begin[1:] - 1] = 256, 257  # word ends
+    counts = [np.ones_like(wide), *(np.maximum(wide - n + 1, 0) for n in GRAMS)]
+    first = np.concatenate([[0], np.cumsum(np.sum(counts, axis=0))])
+    bucket = np.empty(int(first[-1]), dtype=np.int32)
+    bucket[first[:-1]] = words.hash[one] % np.uint64(BUCKETS)  # the word itself comes first
+    place = first[:-1] + 1
+    for n, count in zip(GRAMS, counts[1:], strict=True):
+        at = ragged(begin[:-1], count)
+        gram = np.full(len(at), n, dtype=np.uint64)
         for i in range(n):
-            gram = gram * np.uint64(0x100000001B3) + text[at + i] + np.uint64(1)
-        hashes.append(run_hash(gram, np.arange(len(gram)), np.arange(1, len(gram) + 1)))
-        owner.append(np.repeat(np.arange(len(one)), count))
-    owner = np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    bucket = (np.concatenate(hashes)[order] % np.uint64(BUCKETS)).astype(np.int64)
-    return Pieces(bucket, np.searchsorted(owner[order], np.arange(len(one) + 1)), back)
+            gram *= np.uint64(0x100000001B3)
+            gram += text[at + i]
+        bucket[ragged(place, count)] = mix(gram) % np.uint64(BUCKETS)
+        place = place + count
+    return Pieces(bucket, first, back)
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -105,12 +105,12 @@ class _Sparse:
     value: np.ndarray
 
     def __post_init__(self) -> None:
-        order = np.argsort(self.row, kind="stable")
+        order = np.argsort(self.row, kind="stable").astype(np.int32)
         self.row, self.col, self.value = self.row[order].astype(np.int32), self.col[order].astype(np.int32), self.value[order].astype(np.float32)
         self._first = np.searchsorted(self.row, np.arange(self.shape[0] + 1))
-        self._order = np.argsort(self.col, kind="stable")
-        self._second = np.searchsorted(self.col[self._order], np.arange(self.shape[1] + 1))
-        self._row_by_col, self._value_by_col = self.row[self._order], self.value[self._order]
+        order = np.argsort(self.col, kind="stable").astype(np.int32)
+        self._second = np.searchsorted(self.col, np.arange(self.shape[1] + 1), sorter=order)
+        self._row_by_col, self._value_by_col = self.row[order], self.value[order]
 
     def dot(self, x: np.ndarray) -> np.ndarray:
         return np.stack([_sums(c[self.col] * self.value, self._first) for c in x.T], axis=1)
@@ -178,13 +178,14 @@ def _joint(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     total = np.maximum(_sums(rarity[own][p.word], words.first), 1e-9)
     cell, count = np.unique(doc * len(n_pieces) + p.word, return_counts=True)
     docs = _Sparse((len(labels), len(n_pieces)), cell // len(n_pieces), cell % len(n_pieces), count * rarity[own][cell % len(n_pieces)] / total[cell // len(n_pieces)])
-    owner = np.repeat(np.arange(len(n_pieces)), n_pieces)
+    owner = np.repeat(np.arange(len(n_pieces), dtype=np.int32), n_pieces)
     uses = np.bincount(p.bucket, weights=np.bincount(docs.col, minlength=len(n_pieces))[owner], minlength=BUCKETS)
     kept = np.flatnonzero(uses >= LEAST)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
     some = place[p.bucket] >= 0
-    parts = _Sparse((len(n_pieces), len(kept)), owner[some], place[p.bucket[some]], 1 / n_pieces[owner[some]])
+    parts = _Sparse((len(n_pieces), len(kept)), owner[some], place[p.bucket[some]], (1 / n_pieces).astype(np.float32)[owner[some]])
+    del owner, some, uses, words, p, cell, count, doc, own  # the driver holds only what training needs
 
     rng = np.random.default_rng(3)
     params = [np.zeros((len(kept), DIM), np.float32), rng.normal(0, 0.5, (2, DIM)).astype(np.float32), np.zeros(2, np.float32)]
