@@ -7,7 +7,7 @@ words weighing less, and a linear softmax over two classes gives the score.  Vec
 trained jointly in numpy (full-batch Adam), so a misspelt or inflected word
 that was never seen is scored through the n-grams it shares.
 
-Training reads a bounded sample of labelled rows: at most ``SAMPLE`` of each
+Training runs in one task on a bounded sample of labelled rows: at most ``SAMPLE`` of each
 class in the order of a hash of the id, with texts of at most
 ``SAMPLE_CHARS`` characters.  A fifth of the sample calibrates slope and bias,
 classes weighted to their share of all labelled rows.  Because the model is linear in the averaged
@@ -166,10 +166,15 @@ def fit(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     return _joint(texts, labels, share)
 
 
+def _constant(share: float) -> Model:
+    """The model without examples of both classes: the toxic share for every text."""
+    bias = float(np.log(share) - np.log1p(-share)) if 0 < share < 1 else (-500.0 if share <= 0 else 500.0)
+    return Model(np.zeros(BUCKETS), np.ones(BUCKETS), bias)
+
+
 def _joint(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     if len(set(labels.tolist())) < 2:
-        with np.errstate(divide="ignore"):
-            return Model(np.zeros(BUCKETS), np.ones(BUCKETS), float(np.log(share) - np.log1p(-share)) if 0 < share < 1 else (-500.0 if share <= 0 else 500.0))
+        return _constant(share)
     words = split_words(texts, lower=True)
     p = pieces(words)
     n_pieces, own, doc = np.diff(p.first), p.bucket[p.first[:-1]], words.doc()
@@ -185,19 +190,20 @@ def _joint(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     place[kept] = np.arange(len(kept))
     some = place[p.bucket] >= 0
     parts = _Sparse((len(n_pieces), len(kept)), owner[some], place[p.bucket[some]], (1 / n_pieces).astype(np.float32)[owner[some]])
-    del owner, some, uses, words, p, cell, count, doc, own  # the driver holds only what training needs
+    del owner, some, uses, words, p, cell, count, doc, own  # hold only what training needs
 
     rng = np.random.default_rng(3)
     params = [np.zeros((len(kept), DIM), np.float32), rng.normal(0, 0.5, (2, DIM)).astype(np.float32), np.zeros(2, np.float32)]
     mean, square = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     target = np.eye(2, dtype=np.float32)[labels]
+    weight = (0.5 / np.bincount(labels, minlength=2)).astype(np.float32)  # both classes weigh the same
     for step in range(1, EPOCHS + 1):
         vectors, softmax, bias = params
         hidden = docs.dot(parts.dot(vectors))
         logit = hidden @ softmax.T + bias
         prob = np.exp(logit - logit.max(axis=1, keepdims=True))
         prob /= prob.sum(axis=1, keepdims=True)
-        error = (prob - target) / len(labels)
+        error = (prob - target) * weight[labels, None]
         slope = [parts.transposed_dot(docs.transposed_dot(error @ softmax)) + DECAY * vectors, error.T @ hidden + DECAY * softmax, error.sum(axis=0)]
         for i, g in enumerate(slope):
             g = g.astype(np.float32)
@@ -205,11 +211,10 @@ def _joint(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
             square[i] += 0.01 * (g * g - square[i])
             params[i] = params[i] - RATE * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-12)
     vectors, softmax, bias = params
-    sampled = labels.mean()
-    prior = np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
-    weight = np.zeros(BUCKETS)
-    weight[kept] = vectors @ (softmax[1] - softmax[0])
-    return Model(weight, rarity, float(bias[1] - bias[0] + prior))
+    prior = np.log(share / (1 - share))
+    weights = np.zeros(BUCKETS)
+    weights[kept] = vectors @ (softmax[1] - softmax[0])
+    return Model(weights, rarity, float(bias[1] - bias[0] + prior))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -225,8 +230,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = picked[0].unionByName(picked[1])  # at most 2 * SAMPLE rows: bounded for broadcast
     short = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    sample = rows.select("doc_id", "toxic", "text").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    return fit(sample["text"].combine_chunks(), sample["toxic"].to_numpy().astype(np.int64), share)
+    # one task trains on the bounded sample; the driver sees the model only
+    fitted = rows.select("doc_id", "toxic", "text").repartition(1).mapInArrow(_train(share), "weight binary, rarity binary, bias double").toArrow()
+    if not fitted.num_rows:
+        return _constant(share)
+    row = fitted.to_pylist()[0]
+    return Model(np.frombuffer(row["weight"]), np.frombuffer(row["rarity"]), row["bias"])
+
+
+def _train(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(map(len, held)):
+            sample = pa.Table.from_batches(held)
+            order = np.argsort(mix(sample["doc_id"].to_numpy().view(np.uint64)), kind="stable")  # classes mixed
+            sample = sample.take(pa.array(order))
+            model = fit(sample["text"].combine_chunks(), sample["toxic"].to_numpy().astype(np.int64), share)
+        else:
+            model = _constant(share)
+        parts = [pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.rarity.tobytes()], pa.binary()), pa.array([model.bias])]
+        yield pa.record_batch(parts, ["weight", "rarity", "bias"])
+
+    return run
 
 
 def _score(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
