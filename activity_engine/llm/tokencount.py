@@ -12,7 +12,7 @@ of 0 tokens; ids after the last separator are a document that is not
 ``closed``; a file whose size is not a multiple of the id width raises.  For
 ``write_flat``: null or blank texts are documents of 0 tokens; a text cannot
 hold the separator (strings of special tokens are ordinary text there); a
-null ``doc_id`` comes first, equal ids stay next to each other; an empty table
+null ``doc_id`` is carried, equal ids keep a document each; an empty table
 writes no files; other columns are ignored.
 """
 
@@ -38,9 +38,10 @@ WIDTH = 2  # bytes of an id, little-endian
 
 def _write(folder: str, path: str, end_id: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        # a task that runs again writes files of its own; the rows name those that count
+        attempt = TaskContext.get().taskAttemptId()
         for number, (ids, _, docs) in enumerate(shards(batches, path, end_id, limit, False, slices)):
-            name = f"{part:06d}-{number:06d}.ids"
+            name = f"{attempt:09d}-{number:06d}.ids"
             files.write(f"{folder}/{name}", ids.astype("<u2").tobytes())
             yield pa.record_batch(
                 [pa.array([name] * len(docs)), pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.int64())], ["file", "ordinal", "doc_id"]
@@ -50,11 +51,10 @@ def _write(folder: str, path: str, end_id: int, limit: int) -> Callable[[Iterato
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard: int = SHARD) -> DataFrame:
-    """Write flat files in ascending ``doc_id`` order; a row for each document
-    (file, ordinal in the file, doc_id).  Runs when the frame does."""
+    """Write flat files where the rows lie, no shuffle of texts; a row for each
+    document (file, ordinal in the file, doc_id).  Runs when the frame does."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ranges.mapInArrow(_write(folder, tokenizer, end_id, shard), "file string, ordinal long, doc_id long")
+    return texts.mapInArrow(_write(folder, tokenizer, end_id, shard), "file string, ordinal long, doc_id long")
 
 
 def _sizes(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
