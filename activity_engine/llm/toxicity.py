@@ -5,7 +5,10 @@ character n-grams (over UTF-8 bytes, with word ends marked), each hashed to
 one of ``BUCKETS`` rows.  A document is the average of its words, common
 words weighing less, and a linear softmax over two classes gives the score.  Vectors and softmax are
 trained jointly in numpy (full-batch Adam), so a misspelt or inflected word
-that was never seen is scored through the n-grams it shares.
+that was never seen is scored through the n-grams it shares.  Every bucket of
+the sample has a vector; it counts by how far the bucket's documents differ
+between the classes in standard errors, or the many pieces of one or two
+documents would learn the sample by heart.
 
 Training runs in one task on a bounded sample of labelled rows: at most ``SAMPLE`` of each
 class in the order of a hash of the id, with texts of at most
@@ -37,7 +40,8 @@ from .words import Words, mix, ragged, slices, split_words
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 2
-LEAST = 20  # uses of a bucket in the sample from which its vector is trained
+CHANCE = 3.0  # standard errors at which half of a bucket's vector counts
+STEEP = 6  # power by which chance differences between the classes fade
 RARE = 5e-3  # share of all words at which a word counts half in the average
 EPOCHS = 80
 RATE = 0.2
@@ -172,6 +176,19 @@ def _constant(share: float) -> Model:
     return Model(np.zeros(BUCKETS), np.ones(BUCKETS), bias)
 
 
+def _evidence(docs: _Sparse, p: Pieces, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that hold each bucket, and a share from 0 to 1 by the standard
+    errors between its toxic documents and those expected by chance."""
+    n_pieces, held = np.diff(p.first), np.zeros((2, BUCKETS))
+    for d, label in enumerate(labels):  # one document at a time: few cells are held
+        words = docs.col[docs._first[d] : docs._first[d + 1]]
+        held[label, np.unique(p.bucket[ragged(p.first[words], n_pieces[words])])] += 1
+    both, toxic = held.sum(axis=0), labels.mean()
+    errors = (held[1] - toxic * both) / np.sqrt(toxic * (1 - toxic) * both * (1 - both / (len(labels) + 1)) + 1)
+    power = np.abs(errors) ** STEEP
+    return both, power / (power + CHANCE**STEEP)
+
+
 def _joint(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     if len(set(labels.tolist())) < 2:
         return _constant(share)
@@ -184,13 +201,13 @@ def _joint(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     cell, count = np.unique(doc * len(n_pieces) + p.word, return_counts=True)
     docs = _Sparse((len(labels), len(n_pieces)), cell // len(n_pieces), cell % len(n_pieces), count * rarity[own][cell % len(n_pieces)] / total[cell // len(n_pieces)])
     owner = np.repeat(np.arange(len(n_pieces), dtype=np.int32), n_pieces)
-    uses = np.bincount(p.bucket, weights=np.bincount(docs.col, minlength=len(n_pieces))[owner], minlength=BUCKETS)
-    kept = np.flatnonzero(uses >= LEAST)
-    place = np.full(BUCKETS, -1, dtype=np.int32)
+    uses, evidence = _evidence(docs, p, labels)
+    kept = np.flatnonzero(uses)
+    place = np.zeros(BUCKETS, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    some = place[p.bucket] >= 0
-    parts = _Sparse((len(n_pieces), len(kept)), owner[some], place[p.bucket[some]], (1 / n_pieces).astype(np.float32)[owner[some]])
-    del owner, some, uses, words, p, cell, count, doc, own  # hold only what training needs
+    value = (1 / n_pieces).astype(np.float32)[owner] * evidence.astype(np.float32)[p.bucket]
+    parts = _Sparse((len(n_pieces), len(kept)), owner, place[p.bucket], value)
+    del owner, value, uses, words, p, cell, count, doc, own  # hold only what training needs
 
     rng = np.random.default_rng(3)
     params = [np.zeros((len(kept), DIM), np.float32), rng.normal(0, 0.5, (2, DIM)).astype(np.float32), np.zeros(2, np.float32)]
@@ -213,7 +230,7 @@ def _joint(texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     vectors, softmax, bias = params
     prior = np.log(share / (1 - share))
     weights = np.zeros(BUCKETS)
-    weights[kept] = vectors @ (softmax[1] - softmax[0])
+    weights[kept] = vectors @ (softmax[1] - softmax[0]) * evidence[kept]
     return Model(weights, rarity, float(bias[1] - bias[0] + prior))
 
 

@@ -59,3 +59,16 @@ def test_edge_rows(spark):
     assert score(docs.limit(0), marks).collect() == []
     assert {r.predicted for r in score(docs, marks.limit(0)).collect()} == {0}
     assert {r.predicted for r in score(docs, marks.filter("toxic = 0")).collect()} == {0}
+
+
+def test_documents_held_out_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = score(docs, marks).join(marks, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    recall = {k: sum(r.predicted for r in toxic if k in ("all", r.lang)) / sum(k in ("all", r.lang) for r in toxic) for k in ("all", "en", "de", "es", "fr")}
+    alarms = sum(r.predicted for r in clean) / len(clean)
+    right = sum(r.predicted == r.toxic for r in rows) / len(rows)
+    print(f"accuracy {right:.4f}, false alarms {alarms:.4f}, recall {recall}")
+    assert right > 0.93 and alarms < 0.03
+    assert recall["all"] > 0.85 and min(recall.values()) > 0.7, recall
