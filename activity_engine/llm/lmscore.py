@@ -38,7 +38,7 @@ from .words import mix, slices, split_words
 
 ORDER = 2
 BACKOFF = 0.4
-LEAST = 2  # uses from which an n-gram of two words or more is taken as seen
+LEAST = 2  # uses from which an n-gram of two words or more is taken as seen (the scored text itself is one)
 BLOCK_BYTES = 10 << 20
 RANGE_ENTRIES = 1 << 21  # entries of a hash range, about
 

@@ -31,6 +31,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op2_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with up to two words of context."""
+    scored = lmscore.lm_scores(_read(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
 
@@ -84,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+# Further settings of an operator that has its query above
+VARIANTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_lm_score_order3": op2_lm_score_order3}
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -154,3 +163,38 @@ ORACLES: dict[str, str] = {
         FROM split LEFT JOIN kept USING (doc_id)
     """,
 }
+
+VARIANT_ORACLES: dict[str, str] = {
+    "op2_lm_score_order3": f"""
+        WITH split AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS ws FROM documents),
+        words AS (
+            SELECT doc_id, unnest(ws) AS w, unnest(list_concat([NULL], ws)[:len(ws)]) AS before,
+                unnest(list_concat([NULL, NULL], ws)[:len(ws)]) AS first
+            FROM split WHERE len(ws) > 0
+        ),
+        one AS (SELECT w, count(*) AS n FROM words GROUP BY w),
+        two AS (SELECT before, w, count(*) AS n FROM words WHERE before IS NOT NULL GROUP BY before, w),
+        three AS (SELECT first, before, w, count(*) AS n FROM words WHERE first IS NOT NULL GROUP BY first, before, w),
+        total AS (SELECT count(*) AS n FROM words),
+        scores AS (
+            SELECT words.doc_id,
+                CASE
+                    WHEN three.n >= 2 THEN ln(three.n / pair.n)
+                    ELSE CASE WHEN words.first IS NULL THEN 0 ELSE ln(0.4) END + CASE
+                        WHEN words.before IS NULL THEN ln(one.n / total.n)
+                        WHEN two.n >= 2 THEN ln(two.n / ctx.n)
+                        ELSE ln(0.4) + ln(one.n / total.n)
+                    END
+                END AS s
+            FROM words JOIN one ON one.w = words.w CROSS JOIN total
+            LEFT JOIN two ON two.before = words.before AND two.w = words.w
+            LEFT JOIN one AS ctx ON ctx.w = words.before
+            LEFT JOIN three ON three.first = words.first AND three.before = words.before AND three.w = words.w
+            LEFT JOIN two AS pair ON pair.before = words.first AND pair.w = words.before
+        ),
+        sums AS (SELECT doc_id, sum(s) AS s FROM scores GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 6) AS log_score,
+            round(s / nullif(len(ws), 0), 6) AS mean_log_score
+        FROM split LEFT JOIN sums USING (doc_id)
+    """,
+}

@@ -6,7 +6,10 @@ from collections import Counter
 
 import pytest
 
+from __spark_entry__ import oracle_sql, queries
 from activity_engine.llm.lmscore import BACKOFF, LEAST, lm_scores
+from tests.conftest import SMALL
+from tests.oracle import compare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -44,3 +47,15 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, block string")
     agree(lm_scores(docs, 2), brute([r[:2] for r in rows], 2))
     assert lm_scores(docs.limit(0)).collect() == []
+
+
+def test_registered_query_of_order_three(spark, con, tmp_path):
+    name = "op2_lm_score_order3"
+    ok, msg = compare(queries()[name](spark, SMALL), con, oracle_sql()[name])
+    assert ok, msg
+    # every pair of words in the last text is common, every three words are not
+    texts = ["a b x"] * 5 + ["y b c"] * 5 + ["z c d"] * 5 + ["a b c d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    score = {q: {r.doc_id: r.log_score for r in queries()[q](spark, str(tmp_path)).collect()} for q in (name, "op2_lm_score")}
+    assert score[name][15] == pytest.approx(score["op2_lm_score"][15] + 2 * math.log(BACKOFF), abs=1e-5)
+    assert score[name][0] > score["op2_lm_score"][0]
