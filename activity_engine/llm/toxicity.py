@@ -11,7 +11,7 @@ between the classes in standard errors, or the many pieces of one or two
 documents would learn the sample by heart.
 
 Training runs in one task on a bounded sample of labelled rows: at most ``SAMPLE`` of each
-class in the order of a hash of the id, with texts of at most
+class in the order of a hash of the id, among the ids that have a text of at most
 ``SAMPLE_CHARS`` characters.  A fifth of the sample calibrates slope and bias,
 classes weighted to their share of all labelled rows.  Because the model is linear in the averaged
 vectors, scoring needs one number for each bucket (2 MB in all), which is
@@ -243,9 +243,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     pick = F.xxhash64(F.lit("sample"), "_id")
-    picked = [marks.filter(F.col("toxic") == k).orderBy(pick, "_id").limit(SAMPLE) for k in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])  # at most 2 * SAMPLE rows: bounded for broadcast
     short = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    usable = marks.join(short.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
+    picked = [usable.filter(F.col("toxic") == k).orderBy(pick, "_id").limit(SAMPLE) for k in (0, 1)]
+    chosen = picked[0].unionByName(picked[1])  # at most 2 * SAMPLE rows: bounded for broadcast
     rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     # one task trains on the bounded sample; the driver sees the model only
     fitted = rows.select("doc_id", "toxic", "text").repartition(1).mapInArrow(_train(share), "weight binary, rarity binary, bias double").toArrow()

@@ -72,3 +72,12 @@ def test_documents_held_out_recall(spark):
     print(f"accuracy {right:.4f}, false alarms {alarms:.4f}, recall {recall}")
     assert right > 0.93 and alarms < 0.03
     assert recall["all"] > 0.85 and min(recall.values()) > 0.7, recall
+
+
+def test_labels_without_a_usable_text_take_no_place(spark):
+    texts, labels = corpus(400, 4)
+    docs = spark.createDataFrame([*enumerate(texts), *((i, None) for i in range(1000, 5000)), *((i, "long " * 5000) for i in range(5000, 6000))], "doc_id long, text string")
+    others = spark.range(1000, 2_000_000).selectExpr("id as doc_id", "cast(id % 4 = 0 as int) as toxic")
+    marks = spark.createDataFrame([(i, int(t)) for i, t in enumerate(labels)], "doc_id long, toxic int").unionByName(others)
+    got = {r.doc_id: r.predicted for r in score(docs, marks).filter("doc_id < 1000 and held_out").collect()}
+    assert sum(p == labels[d] for d, p in got.items()) / len(got) > 0.9
