@@ -14,7 +14,7 @@ unless adaptive execution measures it small, and the bitmap has a fixed size.
 
 Cases: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; null or blank
 texts on either side match nothing; items of fewer than five words are looked
-up as whole sequences; a null ``doc_id`` or ``item_id`` is carried and
+up as whole sequences, those of five and six with any one word left out; a null ``doc_id`` or ``item_id`` is carried and
 matched like any other; equal rows give one finding each id; empty tables
 give no findings; other columns pass through ``drop_contaminated`` unchanged.
 """
@@ -36,6 +36,7 @@ from .words import Words, longs, mix, slices, split_words
 # The masks; 1 compares a word, 0 ignores it.
 MASKS = ("11111", "1110011", "1101011", "11001101", "101101001")
 WEIGHT = 5
+SHORT = 6  # items of at most so many words have masks of their own
 MARGIN = 64  # words kept on both sides of a hit for verification
 KEY = "_leak_key"
 
@@ -56,7 +57,10 @@ def masked(words: Words, mask: str, number: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _masks(short: tuple[int, ...]) -> list[str]:
-    return [*MASKS, *("1" * n for n in short)]
+    """MASKS, and for items of just ``n`` words a mask of all, or from ``WEIGHT``
+    words on one for each word that may be substituted."""
+    left_out = [("1" * i + "0" + "1" * (n - i - 1)) for n in short if n >= WEIGHT for i in range(n)]
+    return [*MASKS, *("1" * n for n in short if n < WEIGHT), *left_out]
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +184,8 @@ def _key() -> Column:
 def _findings(docs: DataFrame, benchmark: DataFrame, min_words: int, percent: int, scratch: Scratch) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     item_words = scratch.table(items.mapInArrow(_item_words, "item_id long, words array<long>").filter("size(words) > 0").distinct(), "items")
-    lengths = item_words.filter(F.size("words") < WEIGHT).agg(F.collect_set(F.size("words"))).first()[0]
-    short = tuple(sorted(lengths))  # at most 1, 2, 3, 4
+    lengths = item_words.filter(F.size("words") <= SHORT).agg(F.collect_set(F.size("words"))).first()[0]
+    short = tuple(sorted(lengths))  # at most 1 to SHORT
     seeds = scratch.table(items.mapInArrow(_item_seeds(short), "item_id long, seed long, place int").distinct(), "item_seeds")
     wanted = bitmap.build(seeds, "seed")
 

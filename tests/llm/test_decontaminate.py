@@ -94,3 +94,20 @@ def test_longest_overlap_against_all_stretches():
         want = max(all_, default=None)
         got = longest_overlap(equal, least, 80)
         assert (got is None) == (want is None) and (got is None or got[1] - got[0] == want[0])
+
+
+def test_short_items_with_one_substituted_word(spark):
+    items = [(n, " ".join(f"s{n}_{j}" for j in range(n))) for n in (4, 5, 6, 7)]
+    docs, want = [], set()
+    for n, text in items:
+        for i in range(n):
+            for k in range(i, n):  # one word for i == k, else two
+                w = text.split()
+                w[i] = w[k] = "sub"
+                docs.append((len(docs), " ".join(["aa"] * (i % 3) + w + ["bb"] * k)))
+                if 5 * sum(x != "sub" for x in w) >= 4 * n:
+                    want.add((docs[-1][0], n))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contamination(docs, items).collect()} == want and len(want) == 5 + 6 + 7
+    assert drop_contaminated(docs, items).count() == docs.count() - len(want)
