@@ -17,7 +17,8 @@ activity AS (
     CASE WHEN e.k = 99 THEN '' ELSE CAST(e.user_id AS VARCHAR) END AS userId,
     CAST(e.user_id * 100 + day(e.ts) AS BIGINT) AS sessionId,
     CAST(e.event_id % 50 AS BIGINT) AS itemInSession,
-    CAST(epoch_us(e.ts) // 1000 AS BIGINT) AS ts,
+    CAST(epoch_us(e.ts - CASE WHEN e.user_id % 23 = 0 AND hour(e.ts) > 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END
+         + CASE WHEN e.user_id % 29 = 0 AND day(e.ts) <= 15 THEN INTERVAL 15 DAY ELSE INTERVAL 0 DAY END) // 1000 AS BIGINT) AS ts,
     e.page,
     CASE WHEN e.page = 'Cancellation Confirmation' THEN 'Cancelled' ELSE 'Logged In' END AS auth,
     CASE WHEN e.k < 50 THEN 'free' ELSE 'paid' END AS level,
@@ -48,7 +49,6 @@ activity AS (
   JOIN customer c ON e.user_id = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE NOT (e.user_id % 23 = 0 AND hour(e.ts) > 12) AND NOT (e.user_id % 29 = 0 AND day(e.ts) <= 15)
 )"""
 
 # The feature lists, spelled out here a second time so that a gap in the

@@ -81,7 +81,11 @@ def test_model_job_from_json_log(spark, tmp_path):
     activity(spark, SMALL).write.json(src)
     report = {r.split: r for r in build_model_job(spark, src, dst, "2025-01-01", num_trees=5).collect()}
     assert {"train"} <= set(report) <= {"train", "test", "validation"}  # a split of 13 users may be empty
-    assert sum(r.n for r in report.values()) == 13
+    # rows with a category that the training rows lack are skipped (M-1); all others are in the report
+    rows = [r.asDict() for r in batch_features(spark, SMALL).withColumn("part", ML.hash_split_column([0.6, 0.2, 0.2], 42)).collect()]
+    assert len(rows) == 13
+    known = {c: {r[c] for r in rows if r["part"] == 0} for c in ML.BATCH_CATEGORICAL}
+    assert sum(r.n for r in report.values()) == sum(all(r[c] in known[c] for c in known) for r in rows)
     assert set(SC.known_categories(load_model(dst))) == {"gender", "last_level", "last_state"}
 
 
