@@ -1010,8 +1010,8 @@ def notebook_split(spark, d) -> tuple[DataFrame, DataFrame]:
 def _model_query(name: str):
     def run(spark, d):
         train, valid = notebook_split(spark, d)
-        cvm, _ = ML.fit_spec(name, train)
-        return cvm.transform(valid).select("userId", "label", "prediction")
+        store = ML.fit_store(train, [name])
+        return store.fit(ML.best_of_spec(store, name)[0]).transform(valid).select("userId", "label", "prediction")
 
     return run
 
@@ -1020,23 +1020,21 @@ for _key, _spec in [("model_forest", "random_forest"), ("model_gbt", "gbt"), ("m
     register(_key)(_model_query(_spec))
 
 
-@register("cross_validation")
-def q_cross_validation(spark, d):
-    train, _ = notebook_split(spark, d)
-    cvm = ML.cross_validate(ML.train_forest(seed=42, max_depth=5), train, 10)
-    return ML.cv_metrics(spark, cvm, "random_forest")
-
+def _grid_query(spec: str, model: str):
+    def run(spark, d):
+        train, _ = notebook_split(spark, d)
+        make, folds, grid = ML.MODEL_SPECS[spec]
+        return ML.cv_metrics(spark, ML.fit_store(train, [spec]), model, make(), folds, grid)
 
-@register("grid_search")
-def q_grid_search(spark, d):
-    train, _ = notebook_split(spark, d)
-    return ML.cv_metrics(spark, ML.fit_spec("linear_svm_tuned", train)[0], "linear_svm")
+    return run
 
 
-@register("grid_search_forest")
-def q_grid_search_forest(spark, d):
-    train, _ = notebook_split(spark, d)
-    return ML.cv_metrics(spark, ML.fit_spec("random_forest_tuned", train, parallelism=8)[0], "random_forest")
+for _key, _spec, _model in [
+    ("cross_validation", "random_forest", "random_forest"),
+    ("grid_search", "linear_svm_tuned", "linear_svm"),
+    ("grid_search_forest", "random_forest_tuned", "random_forest"),
+]:
+    register(_key)(_grid_query(_spec, _model))
 
 
 @register("model_comparison")

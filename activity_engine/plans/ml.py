@@ -14,13 +14,16 @@ reads the same rows.
 from __future__ import annotations
 
 import functools
+import statistics
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Normalizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,33 +181,74 @@ def param_grid(estimator, grid: dict[str, list]) -> list:
     return builder.build()
 
 
-def cross_validate(
-    estimator, train: DataFrame, folds: int, grid: list | None = None, seed: int = 42, parallelism: int = 4, key: str = "userId"
-):
-    """M-12: k-fold cross-validation on weighted F1; returns the fitted CV model.
-
-    With a ``key`` column the folds are a hash of it, the same at any
-    partitioning; without one Spark deals rows out by a seeded random column."""
-    if key in train.columns:
-        train = train.withColumn("_fold", hash_split_column([1.0] * folds, seed, key))
-    cv = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid if grid is not None else ParamGridBuilder().build(),
-        evaluator=f1_evaluator(),
-        numFolds=folds,
-        seed=seed,
-        parallelism=parallelism,
-        foldCol="_fold" if key in train.columns else "",
-    )
-    return cv.fit(train)
+class FitStore:
+    """Cross-validation on weighted F1 in which no fit is made twice.
 
+    The training rows are written once with a fold number for every number of
+    folds asked for (a hash of the key, the same at any partitioning).  Each
+    (estimator, whole parameter map, folds, fold) is fitted and scored at most
+    once, whichever models and grids ask for it, so a model that is a point of
+    a tuned grid costs nothing more.
+    """
 
-def cv_metrics(spark: SparkSession, cv_model, name: str) -> DataFrame:
-    """Average fold metric per grid point as a table."""
+    def __init__(self, train: DataFrame, fold_counts: list[int], seed: int = 42, parallelism: int = 8, key: str = "userId"):
+        counts = sorted(set(fold_counts))
+        numbered = {f"fold_of_{n}": hash_split_column([1.0] * n, seed, key) for n in counts}
+        # rebalanced: as few files as the size allows, since every fit makes tens of passes
+        self.rows = materialize(train.withColumns(numbered).drop(key).hint("rebalance"), "folds")
+        self.parallelism = parallelism
+        self.f1: dict[tuple, float] = {}
+        self.fitted: dict[tuple, object] = {}
+
+    @staticmethod
+    def point_key(estimator) -> tuple:
+        """The estimator's kind and every parameter value, set or default."""
+        return type(estimator).__name__, tuple(sorted((p.name, str(v)) for p, v in estimator.extractParamMap().items()))
+
+    def run(self, wanted: list[tuple[list, int]]) -> None:
+        """Fit and score what is missing of (points, folds) pairs, ``parallelism``
+        fits at a time over all of them (a fit is many small jobs)."""
+        todo = {(self.point_key(e), folds, i): e for points, folds in wanted for e in points for i in range(folds)}
+        todo = [(unit, e) for unit, e in todo.items() if unit not in self.f1]
+        rows = self.rows.persist()
+
+        def score(item):
+            unit, estimator = item
+            _, folds, i = unit
+            held_out = F.col(f"fold_of_{folds}") == i
+            model = estimator.fit(rows.filter(~held_out))
+            self.f1[unit] = f1_evaluator().evaluate(model.transform(rows.filter(held_out)))
+
+        if todo:
+            with ThreadPool(min(self.parallelism, len(todo))) as pool:
+                pool.map(inheritable_thread_target(rows.sparkSession)(score), todo, chunksize=1)
+        rows.unpersist()
+
+    def cross_validate(self, points: list, folds: int) -> list[float]:
+        """M-12: mean weighted F1 over the folds of each estimator in ``points``."""
+        self.run([(points, folds)])
+        return [statistics.fmean(self.f1[self.point_key(e), folds, i] for i in range(folds)) for e in points]
+
+    def fit(self, estimator):
+        """The estimator fitted on every training row."""
+        key = self.point_key(estimator)
+        if key not in self.fitted:
+            self.fitted[key] = estimator.fit(self.rows)
+        return self.fitted[key]
+
+
+def grid_points(estimator, grid: dict[str, list] | None) -> list:
+    """The estimator at every point of a grid (itself without one)."""
+    return [estimator.copy(pm) for pm in param_grid(estimator, grid)] if grid else [estimator]
+
+
+def cv_metrics(spark: SparkSession, store: FitStore, name: str, estimator, folds: int, grid: dict[str, list] | None = None) -> DataFrame:
+    """M-15: average fold metric per grid point as a table."""
+    points = grid_points(estimator, grid)
     rows = []
-    for i, (pm, m) in enumerate(zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics)):
-        params = ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((name, i, params, float(m)))
+    for i, (point, f1) in enumerate(zip(points, store.cross_validate(points, folds))):
+        params = ", ".join(f"{p}={point.getOrDefault(p)}" for p in sorted(grid or {}))
+        rows.append((name, i, params, float(f1)))
     return spark.createDataFrame(rows, "model string, grid_point int, params string, avg_f1 double")
 
 
@@ -292,7 +336,7 @@ def build_churn_model(bf: DataFrame, seed: int = 42, num_trees: int = 100, dst:
     return model, report
 
 
-# The reference's seeds, depths, iterations, folds and grids.
+# Seeds, depths, iterations, folds and grids.
 SVM_GRID = {"maxIter": [50, 100, 150], "regParam": [0.0, 0.01]}
 FOREST_GRID = {"maxDepth": [3, 4, 5, 6, 8], "numTrees": [20, 15, 10, 5]}
 MODEL_SPECS = {
@@ -305,28 +349,37 @@ MODEL_SPECS = {
 }
 
 
-def fit_spec(name: str, train: DataFrame, parallelism: int = 4):
-    """(cross-validated model, folds) of one entry of ``MODEL_SPECS``."""
+def spec_points(name: str) -> tuple[list, int]:
+    """The points and number of folds of one entry of ``MODEL_SPECS``."""
     make, folds, grid = MODEL_SPECS[name]
-    estimator = make()
-    points = param_grid(estimator, grid) if grid else None
-    return cross_validate(estimator, train, folds, points, parallelism=parallelism), folds
+    return grid_points(make(), grid), folds
+
 
+def best_of_spec(store: FitStore, name: str):
+    """(best point, folds, its mean fold F1) of one entry of ``MODEL_SPECS``."""
+    points, folds = spec_points(name)
+    f1 = store.cross_validate(points, folds)
+    best = max(range(len(points)), key=lambda i: f1[i])
+    return points[best], folds, f1[best]
 
-def compare_models(train: DataFrame, valid: DataFrame, names: list[str] | None = None, parallelism: int = 4) -> DataFrame:
+
+def fit_store(train: DataFrame, names: list[str] | None = None, parallelism: int = 8) -> FitStore:
+    """The store for some entries of ``MODEL_SPECS``."""
+    return FitStore(train, [MODEL_SPECS[n][1] for n in names or MODEL_SPECS], parallelism=parallelism)
+
+
+def compare_models(train: DataFrame, valid: DataFrame, names: list[str] | None = None, parallelism: int = 8) -> DataFrame:
     """M-18: cross-validate each model on ``train``, score ``valid``; one row per
-    model, tuned ones (best point of their grid) included."""
-    parts = []
-    for name in names or list(MODEL_SPECS):
-        cvm, folds = fit_spec(name, train, parallelism)
-        metrics = evaluate(cvm.transform(valid))
-        parts.append(
-            metrics.select(
-                F.lit(name).alias("model"),
-                F.lit(folds).alias("folds"),
-                F.lit(float(max(cvm.avgMetrics))).alias("cv_f1"),
-                F.col("accuracy").alias("valid_accuracy"),
-                F.col("weighted_f1").alias("valid_f1"),
-            )
-        )
-    return functools.reduce(DataFrame.unionByName, parts)
+    model, tuned ones (best point of their grid) included.  All share one store
+    of fits: the untuned forest and SVM are points of the tuned grids."""
+    names = names or list(MODEL_SPECS)
+    store = fit_store(train, names, parallelism)
+    store.run(sorted(map(spec_points, names), key=lambda w: w[1]))  # few folds first: their fits take longest
+    valid = valid.persist()
+    rows = []
+    for name in names:
+        point, folds, f1 = best_of_spec(store, name)
+        m = evaluate(store.fit(point).transform(valid)).first()
+        rows.append((name, folds, float(f1), m and m.accuracy, m and m.weighted_f1))
+    valid.unpersist()
+    return train.sparkSession.createDataFrame(rows, "model string, folds int, cv_f1 double, valid_accuracy double, valid_f1 double")

@@ -103,3 +103,28 @@ def test_stream_restart_scores_only_new_files(spark, tmp_path):
     start_scoring(model, spark, src + "/*", sink, ckpt, "2025-01-01", available_now=True).awaitTermination()
     assert first == 5
     assert spark.read.parquet(sink).count() == 5 + req.count()
+
+
+def test_comparison_fits_shared_points_once(spark, monkeypatch):
+    """An untuned model that is a point of the tuned grid is fitted once, with one value."""
+    rows = [(str(i), float(i % 3 == 0), [float(i % 7), float(i % 3)]) for i in range(60)]
+    data = spark.createDataFrame(rows, "userId string, label double, v array<double>")
+    from pyspark.ml.functions import array_to_vector
+
+    data = data.select("userId", "label", array_to_vector("v").alias("features"))
+    specs = {
+        "plain": (lambda: ML.train_forest(seed=42, num_trees=3, max_depth=2), 3, None),
+        "tuned": (lambda: ML.train_forest(seed=42), 3, {"maxDepth": [2, 3], "numTrees": [3]}),
+    }
+    monkeypatch.setattr(ML, "MODEL_SPECS", specs)
+    store = ML.fit_store(data)
+    store.run([ML.spec_points(n) for n in specs])
+    assert len(store.f1) == 2 * 3
+    got = {r.model: r for r in ML.compare_models(data, data).collect()}
+    assert set(got) == {"plain", "tuned"} and got["tuned"].cv_f1 >= got["plain"].cv_f1
+    grid = {r.params: r.avg_f1 for r in ML.cv_metrics(spark, store, "t", specs["tuned"][0](), 3, specs["tuned"][2]).collect()}
+    assert grid["maxDepth=2, numTrees=3"] == got["plain"].cv_f1
+    # the metric of a fold, computed apart
+    folds = data.withColumn("f", ML.hash_split_column([1.0] * 3, 42))
+    f1 = [ML.evaluate(specs["plain"][0]().fit(folds.filter(F.col("f") != i).select("label", "features")).transform(folds.filter(F.col("f") == i))).first().weighted_f1 for i in range(3)]
+    assert abs(sum(f1) / 3 - got["plain"].cv_f1) < 0.1
