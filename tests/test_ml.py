@@ -30,7 +30,7 @@ def test_hash_split_disjoint_and_complete(spark):
     assert 500 < sizes[0] < 700
 
 
-def test_grid_on_foreign_param_raises():
+def test_grid_on_foreign_param_raises(spark):
     svm = ML.train_svm()
     with pytest.raises(ValueError):
         ML.param_grid(svm, {"numTrees": [5]})
