@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import ann, decontaminate, lmscore, minhash, packing, sharding, substring, tokencount, toxicity, wavelet
+from . import ann, chat, decontaminate, lmscore, minhash, packing, resample, sharding, spelling, substring, tokencount, toxicity, wavelet
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_OF_TEXT = 49407  # the tokenizer's own end-of-document id
@@ -74,6 +74,56 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_read(spark, sf_dir, "documents"), [1.0] * SHARDS, added=1.0)
 
 
+PROBE = "\\### Assistant: </turn> ok"  # fixed value: both texts of conversation -7
+
+
+def chat_log(conversations: DataFrame) -> DataFrame:
+    """Stand-in input: the event log of a service that produced these messages.
+    Texts are streamed in pieces; some are regenerated half-way, some edited.
+    Rows that share ``turn`` are messages of their own."""
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?s).{1,160}"), 0)
+    message = F.concat_ws(":", F.col("turn").cast("string"), "role", F.xxhash64("text").cast("string"))
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), pieces.alias("pieces"), message.alias("message"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    nothing = F.lit(None).cast("string")
+    streamed = F.transform("pieces", lambda p: event("delta", p))
+    draft = F.transform("pieces", lambda p: event("delta", F.reverse(p)))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    after = (
+        F.when(way == 0, streamed)
+        .when(way == 1, F.concat(draft, F.array(event("regenerate", nothing)), streamed))
+        .otherwise(F.concat(F.slice(draft, 1, 1), F.array(event("edit", F.element_at("pieces", 1))), F.slice(streamed, F.lit(2), F.greatest(F.size("pieces"), F.lit(1)))))
+    )
+    events = F.concat(F.array(event("open", nothing)), after)
+    out = rows.select("conv_id", "turn", "role", "message", F.posexplode(events).alias("place", "event"))
+    opens = F.col("event.kind") == "open"
+    return out.select(
+        "conv_id",
+        (F.coalesce("turn", F.lit(-1)).cast("long") * (1 << 24) + F.col("place")).alias("seq"),
+        F.col("event.kind").alias("kind"),
+        "message",
+        F.when(opens, F.col("turn")).alias("turn"),
+        F.when(opens, F.col("role")).alias("role"),
+        F.col("event.text").alias("text"),
+    )
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted from their event log; what
+    is returned is read back from the formatted parts."""
+    probe = spark.sql("SELECT -7L AS conv_id, turn, role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)", {"text": PROBE})
+    conversations = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_log(chat_log(conversations.unionByName(probe))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_substring_dedup,
         op10_rendezvous,
+        op11_chat_format,
+        op12_spelling_variants,
+        op13_importance_resampling,
     )
 }
 
@@ -141,6 +194,25 @@ ORACLES: dict[str, str] = {
         SELECT split.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, component_id = split.doc_id AS kept
         FROM split LEFT JOIN sizes USING (doc_id) JOIN least ON least.node = split.doc_id
     """,
+    "op11_chat_format": """
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')
+        ),
+        sizes AS (
+            SELECT *, length('<turn >') + length('</turn>') + 1
+                + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
+                + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS chars
+            FROM rows
+        ),
+        whole AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+                coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars
+            FROM sizes GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+        FROM whole
+    """,
     "op9_substring_dedup": f"""
         WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
         windows AS (

@@ -19,7 +19,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
