@@ -43,7 +43,7 @@ from ..session import Scratch
 from .words import _LOWER, ragged, slices, text_bytes
 
 BUCKETS = 10_000
-SLICE_BYTES = 1 << 21  # text under one table
+SLICE_BYTES = 1 << 20  # text under one table
 _SHORT = 32  # shorter n-grams are hashed together by length
 
 _WORD = np.zeros(256, dtype=bool)
@@ -146,6 +146,36 @@ def _same_bytes(g: Grams, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same
 
 
+def _crc_steps() -> np.ndarray:
+    """Byte steps of CRC-32, from its reversed polynomial."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = (step >> np.uint32(1)) ^ np.where(step & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return step
+
+
+_CRC = _crc_steps()
+
+
+def gram_checksums(g: Grams, which: np.ndarray) -> np.ndarray:
+    """CRC-32 of the occurrences ``which``, byte by byte over all of them; those
+    that are used up drop out."""
+    order = which[np.argsort(-g.length[which], kind="stable")]  # the longest first
+    start, length = g.start[order], g.length[order]
+    crc = np.full(len(order), 0xFFFFFFFF, dtype=np.uint32)
+    many = int(np.searchsorted(-length, -_SHORT, side="left"))  # longer ones are left to the library
+    still = np.searchsorted(-length, -np.arange(_SHORT + 1), side="left")  # so many are longer than each length
+    for at in range(_SHORT):
+        live = slice(many, still[at])
+        byte = g.data[start[live] + at]
+        crc[live] = _CRC[(crc[live] ^ byte) & np.uint32(255)] ^ (crc[live] >> np.uint32(8))
+    crc ^= np.uint32(0xFFFFFFFF)
+    crc[:many] = [zlib.crc32(g.text(i)) for i in order[:many]]
+    out = np.empty(len(order), dtype=np.uint32)
+    out[np.argsort(-g.length[which], kind="stable")] = crc
+    return out
+
+
 class Table:
     """Open-addressed table of a slice's distinct n-grams: for each slot the
     bucket and the count, for each occurrence its slot."""
@@ -153,23 +183,25 @@ class Table:
     def __init__(self, g: Grams, buckets: int, keys: np.ndarray | None = None):
         keys = gram_keys(g) if keys is None else keys
         size = 1 << max(4, int(2 * len(keys)).bit_length())
-        owner = np.full(size, -1, dtype=np.int64)  # the occurrence that claimed the slot
-        self.slot = np.empty(len(keys), dtype=np.int64)
-        probe = (keys & np.uint64(size - 1)).astype(np.int64)
-        waiting = np.arange(len(keys))
+        owner = np.full(size, -1, dtype=np.int32)  # the occurrence that claimed the slot
+        self.slot = np.empty(len(keys), dtype=np.int32)
+        at = (keys & np.uint64(size - 1)).astype(np.int32)
+        waiting, key = np.arange(len(keys), dtype=np.int32), keys
         while len(waiting):
-            at = probe[waiting]
-            free = owner[at] < 0
-            owner[at[free]] = waiting[free]  # of several, one claims it
             holder = owner[at]
-            mine = keys[holder] == keys[waiting]
-            mine[mine] = _same_bytes(g, holder[mine], waiting[mine])
+            free = np.flatnonzero(holder < 0)
+            owner[at[free]] = waiting[free]  # of several, one claims it
+            holder[free] = owner[at[free]]
+            mine = keys[holder] == key
+            other = np.flatnonzero(mine & (holder != waiting))
+            mine[other] = _same_bytes(g, holder[other], waiting[other])
             self.slot[waiting[mine]] = at[mine]
-            waiting = waiting[~mine]
-            probe[waiting] = (probe[waiting] + 1) & (size - 1)
+            left = ~mine
+            waiting, key = waiting[left], key[left]
+            at = (at[left] + 1) & (size - 1)
         taken = np.flatnonzero(owner >= 0)
-        self.bucket = np.zeros(size, dtype=np.int64)
-        self.bucket[taken] = [zlib.crc32(g.text(i)) % buckets for i in owner[taken]]
+        self.bucket = np.zeros(size, dtype=np.int32)
+        self.bucket[taken] = gram_checksums(g, owner[taken]) % np.uint32(buckets)
         self.count = np.bincount(self.slot, minlength=size)
 
 
