@@ -13,6 +13,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
@@ -123,7 +124,8 @@ class Scratch:
 
     ``table`` writes a frame once under the shared folder and reads it back;
     leaving the ``with`` block deletes every table but those of ``keep``
-    (what the returned frame still reads).
+    (what the returned frame still reads), and destroys the broadcasts given to
+    ``own`` (their files stay in the local folders else).
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -131,6 +133,7 @@ class Scratch:
         self.root = scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
         self._written: dict[str, str] = {}
         self._kept: set[str] = set()
+        self._broadcasts: list[Broadcast] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -139,6 +142,14 @@ class Scratch:
         for name, path in self._written.items():
             if name not in self._kept:
                 delete_path(self.spark, path)
+        for value in self._broadcasts:
+            value.destroy()
+
+    def own(self, value: Broadcast) -> Broadcast:
+        """A broadcast that goes when the block is left; frames that use it must
+        have been written by then."""
+        self._broadcasts.append(value)
+        return value
 
     def path(self, name: str) -> str:
         """A folder of this call, deleted with its tables."""

@@ -41,3 +41,14 @@ def test_scratch_tables_are_deleted_but_for_the_result(spark):
         out = s.keep(a.selectExpr("x + 1 AS y"), "out")
         root = s.root.removeprefix("file:")
     assert sorted(os.listdir(root)) == ["out"] and out.count() == 5
+
+
+def test_scratch_destroys_its_broadcasts(spark):
+    import os
+
+    from activity_engine.session import Scratch
+
+    with Scratch(spark, "owned") as scratch:
+        held = scratch.own(spark.sparkContext.broadcast(list(range(1000))))
+        assert os.path.exists(held._path)
+    assert not os.path.exists(held._path)
