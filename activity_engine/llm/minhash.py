@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from . import bitmap
 from .components import components
-from .words import mix, ragged, run_hash, slices, split_words
+from .words import fresh_name, mix, ragged, run_hash, slices, split_words
 
 MINIMA, BANDS = 112, 28
 ROWS = MINIMA // BANDS
@@ -156,7 +156,7 @@ def _join_blocks(least: int, percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bitmap_bits: int = bitmap.MOST_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest ``doc_id`` reachable over links
     of at least ``percent`` / 100 Jaccard similarity) and kept, for every row."""
     spark = docs.sparkSession
@@ -166,20 +166,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
             texts.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signatures"
         )
         own = base.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        classes = own.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-        copies = own.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+        # written, so that the joins back read plain shuffles, whose hot partitions are split
+        repeated = own.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
+        repeated = scratch.table(repeated.select("d1", "d2", "rep"), "repeated")
+        copies = own.select("doc_id", "d1", "d2").join(repeated, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
         copies = scratch.table(copies, "copies")
-        reps = scratch.table(
-            own.join(classes, ["d1", "d2"]).filter("doc_id = rep").select(F.col("doc_id").alias("id"), "d1", "sig").dropDuplicates(["id", "d1"]).select("id", "sig"),
-            "classes",
-        )
+        first = own.join(repeated, ["d1", "d2"], "left").filter("rep IS NULL OR doc_id = rep")
+        reps = scratch.table(first.select(F.col("doc_id").alias("id"), "d1", "sig").dropDuplicates(["id", "d1"]).select("id", "sig"), "classes")
 
         band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]))
         bucket = reps.select("id", band.alias("bucket"))
         shared = bucket.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last")
         members = scratch.table(bucket.join(shared, "bucket").select("bucket", "id", "centre"), "members")
 
-        wanted = bitmap.build(members.select("id"), "id")
+        wanted = bitmap.build(members.select("id").distinct(), "id", scratch, bitmap_bits)
         known = texts.filter("doc_id IS NOT NULL")
         sets = scratch.table(
             known.mapInArrow(_sets(shingle, wanted), "id long, grams binary").join(members.select("id").distinct(), "id", "left_semi"), "sets"
@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         return scratch.keep(out, "result")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, bitmap_bits: int = bitmap.MOST_BITS) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its group."""
-    gone = near_duplicates(docs, shingle, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh_name(docs, "_gone")
+    gone = near_duplicates(docs, shingle, percent, bitmap_bits).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

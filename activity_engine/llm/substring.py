@@ -201,11 +201,12 @@ def _row_key() -> Column:
 def _copies(known: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, key) of the rows whose whole text also stands under a smaller id."""
     whole = known.select("doc_id", KEY, F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(9), "text").alias("h2"))
-    lows = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    # written, so that the join back reads plain shuffles, whose hot partitions are split
+    lows = scratch.table(whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi"), "copied")
     return scratch.table(whole.join(lows, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", KEY).distinct(), "copies")
 
 
-def _marks(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+def _marks(docs: DataFrame, min_words: int, bits: int, scratch: Scratch) -> DataFrame:
     """(doc_id, key of the row, starts of its matching windows or [-1] for all)."""
     seed = min(SEED, min_words)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias(KEY))
@@ -213,7 +214,7 @@ def _marks(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     # A copy of a whole text matches throughout, and its original speaks for it.
     # The bitmap tells most other rows at once, the join the few it confuses.
     copies = _copies(known, scratch)
-    copied = bitmap.build(copies, KEY)
+    copied = bitmap.build(copies, KEY, scratch, bits)
     confused = scratch.table(known.mapInArrow(_hit(copied), known.schema).join(copies, ["doc_id", KEY], "left_anti").select(*known.columns), "confused")
 
     def own(function: Callable, *args: object, schema: str) -> DataFrame:
@@ -221,12 +222,12 @@ def _marks(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
 
     seeds = own(_seeds, schema="seed long, doc_id long")
     common = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    shared = bitmap.build(scratch.table(common.select("seed"), "seeds"), "seed")
+    shared = bitmap.build(scratch.table(common.select("seed"), "seeds"), "seed", scratch, bits)
 
     first = own(_windows, shared, None, schema="w1 long, w2 long, doc_id long")
     lows = first.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
     lows = scratch.table(lows, "windows")
-    again = bitmap.build(lows, "w1")
+    again = bitmap.build(lows, "w1", scratch, bits)
     places = own(_windows, shared, again, schema=f"w1 long, w2 long, doc_id long, {KEY} long, start int")
     later = places.join(lows, ["w1", "w2"]).filter("doc_id > lo")
     # equal rows make equal marks: a set, at most one entry a word of the text
@@ -234,9 +235,9 @@ def _marks(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     return scratch.table(marks.unionByName(copies.withColumn(STARTS, F.array(F.lit(-1)))), "marks")
 
 
-def _apply(docs: DataFrame, min_words: int, report: bool, scratch: Scratch) -> DataFrame:
-    marks = _marks(docs, min_words, scratch)
-    marked = bitmap.build(marks.select(KEY), KEY)
+def _apply(docs: DataFrame, min_words: int, report: bool, bits: int, scratch: Scratch) -> DataFrame:
+    marks = _marks(docs, min_words, bits, scratch)
+    marked = bitmap.build(marks.select(KEY), KEY, scratch, bits)
     if report:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias(KEY))
     else:
@@ -249,15 +250,17 @@ def _apply(docs: DataFrame, min_words: int, report: bool, scratch: Scratch) -> D
     return plain.unionByName(hit.mapInArrow(_cut(min_words, report, None), out))
 
 
-def repeat_report(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def repeat_report(docs: DataFrame, min_words: int = 50, bitmap_bits: int = bitmap.MOST_BITS) -> DataFrame:
     """For each row: doc_id, n_words, n_removed, sha256 of the kept words joined
     by one space, and the maximal repeats as word spans [start, end)."""
     with Scratch(docs.sparkSession, "substring") as scratch:
-        return scratch.keep(_apply(docs, min_words, True, scratch), "report")
+        return scratch.keep(_apply(docs, min_words, True, bitmap_bits, scratch), "report")
 
 
-def cut_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def cut_repeats(docs: DataFrame, min_words: int = 50, bitmap_bits: int = bitmap.MOST_BITS) -> DataFrame:
     """``docs`` with the repeats cut out of ``text``; texts without repeats are
     left byte for byte, other columns too."""
+    inside = {c: c if c in ("doc_id", "text") else f"other{i}" for i, c in enumerate(docs.columns)}
     with Scratch(docs.sparkSession, "substring") as scratch:
-        return scratch.keep(_apply(docs, min_words, False, scratch), "cut")
+        cut = scratch.keep(_apply(docs.toDF(*inside.values()), min_words, False, bitmap_bits, scratch), "cut")
+    return cut.toDF(*inside)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 20  # texts handled at once inside a task
 _PIECE = 1 << 18  # bytes under one table of powers
@@ -154,6 +155,14 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - count), count)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def longs(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as Spark's signed longs (same bits)."""
     return pa.array(values.view(np.int64))

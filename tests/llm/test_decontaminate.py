@@ -4,8 +4,11 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from activity_engine.llm import decontaminate
 from activity_engine.llm.decontaminate import MASKS, contamination, drop_contaminated, longest_overlap
+from activity_engine.session import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -111,3 +114,77 @@ def test_short_items_with_one_substituted_word(spark):
     items = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in contamination(docs, items).collect()} == want and len(want) == 5 + 6 + 7
     assert drop_contaminated(docs, items).count() == docs.count() - len(want)
+
+
+def brute(docs, items, least=13, percent=80):
+    """(doc, item) -> longest stretch on any diagonal, by trying every diagonal whole."""
+    out = {}
+    for d, text in docs:
+        t = text.split()
+        for i, item in items:
+            q = item.split()
+            best = None
+            for shift in range(-len(q) + 1, len(t)):
+                lo, hi = max(0, shift), min(len(t), len(q) + shift)
+                equal = np.array([t[x] == q[x - shift] for x in range(lo, hi)], dtype=bool)
+                found = longest_overlap(equal, min(least, len(q)), percent) if equal.sum() >= 5 else None
+                if found:
+                    n = (found[1] - found[0], -(lo + found[0]), int(equal[found[0] : found[1]].sum()))
+                    best = max(best, n) if best else n
+            if best:
+                out[d, i] = (-best[1], best[0] - best[1], best[2])
+    return out
+
+
+def test_extents_equal_brute_force(spark):
+    """Start, end and equal words of random copies with long gaps, near and beyond the threshold."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([15, 40, 300])))) for i in range(8)]
+    docs = []
+    for i in range(60):
+        _, text = rng.choice(items)
+        w = text.split()
+        a = rng.randrange(max(1, len(w) - 14))
+        w = w[a : a + rng.randint(13, len(w))]
+        if rng.random() < 0.5:
+            gap = rng.randint(1, max(1, len(w) // 4))
+            at = rng.randrange(len(w) - gap + 1)
+            w[at : at + gap] = [f"x{j}" for j in range(gap)]
+        else:
+            w = [x if rng.random() < 0.85 else "sub" for x in w]
+        docs.append((i, " ".join([f"p{j}" for j in range(rng.randrange(80))] + w + ["tail"] * rng.randrange(80))))
+    want = brute(docs, items)
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.start, r.end, r.equal_words) for r in got.collect()} == want and len(want) > 25
+
+
+def test_a_stretch_is_found_whole_across_a_long_gap(spark):
+    item = [f"w{i}" for i in range(500)]
+    text = item[:200] + [f"x{i}" for i in range(100)] + item[300:]
+    docs = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string")
+    row = contamination(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in row] == [(1, 7, 0, 500, 400, 1)]
+
+
+def test_common_phrase_does_not_make_pairs(spark):
+    """2,000 documents and 500 items share one five-word phrase and nothing else."""
+    phrase = "the same five plain words"
+    items = [(i, " ".join([f"i{i}_{j}" for j in range(12)] + [phrase] + [f"j{i}_{j}" for j in range(12)])) for i in range(500)]
+    docs = [(i, " ".join([f"d{i}_{j}" for j in range(40)] + [phrase] + [f"e{i}_{j}" for j in range(40)])) for i in range(2000)]
+    docs += [(5000, "before " + items[9][1] + " after")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    with Scratch(spark, "phrase") as scratch:
+        texts = docs.withColumn(decontaminate.KEY, F.xxhash64("doc_id", "text"))
+        keyed = items.withColumn(decontaminate.ITEM, F.xxhash64("item_id", "text"))
+        found = decontaminate._candidates(texts, keyed, (), 13, 80, 28, scratch)
+        hits = spark.read.parquet(scratch._written["hits"])
+        met = hits.join(spark.read.parquet(scratch._written["item_seeds"]), "seed")
+        assert found.count() <= 10_000 and met.count() <= 10_000
+    assert [(r.doc_id, r.item_id) for r in contamination(docs, items).collect()] == [(5000, 9)]
+
+
+def test_clashing_column_names(spark):
+    q = " ".join(f"q{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, q, "a", "b"), (2, "clean", "c", "d")], "doc_id long, text string, _bad string, _leak_key string")
+    left = drop_contaminated(docs, spark.createDataFrame([(1, q)], "item_id long, text string"))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "clean", "c", "d")]

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from activity_engine.llm.minhash import near_duplicates
+from activity_engine.llm.minhash import keep_one_of_each, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -81,3 +81,9 @@ def test_chain_of_near_copies(spark):
 @pytest.mark.parametrize("schema", ["doc_id long, text string, n_shingles int, id long"])
 def test_empty_table(spark, schema):
     assert near_duplicates(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_clashing_column_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "a"), (2, "one two three four five six", "b")], "doc_id long, text string, _gone string")
+    left = keep_one_of_each(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "one two three four five six", "a")]

@@ -68,3 +68,10 @@ def test_cut_keeps_other_columns_and_spacing(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lo long")
     assert repeat_report(docs).collect() == [] and cut_repeats(docs).collect() == []
+
+
+def test_clashing_column_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([("x", 1, text, 5), ("y", 2, text + " more", 6)], "_repeat_key string, doc_id long, text string, _key int")
+    cut = cut_repeats(docs)
+    assert cut.columns == docs.columns and sorted(tuple(r) for r in cut.collect()) == [("x", 1, text, 5), ("y", 2, "more", 6)]
