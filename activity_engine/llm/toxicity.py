@@ -41,7 +41,9 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 2
 CHANCE = 3.0  # standard errors at which half of a bucket's vector counts
-STEEP = 6  # power by which chance differences between the classes fade
+# power by which chance differences between the classes fade: of 1, 2, 4, 6, 8 and 12 the one with the best
+# accuracy in a four-fold cross-validation over the labelled rows of sf0.1 that are not held out
+STEEP = 8
 RARE = 5e-3  # share of all words at which a word counts half in the average
 EPOCHS = 80
 RATE = 0.2
