@@ -103,7 +103,8 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Sparse:
-    """A sparse matrix for products in both directions."""
+    """A sparse matrix, cells in the order of their rows, for products in both
+    directions (one copy of the cells, a block of them at a time)."""
 
     shape: tuple[int, int]
     row: np.ndarray
@@ -111,18 +112,20 @@ class _Sparse:
     value: np.ndarray
 
     def __post_init__(self) -> None:
-        order = np.argsort(self.row, kind="stable").astype(np.int32)
-        self.row, self.col, self.value = self.row[order].astype(np.int32), self.col[order].astype(np.int32), self.value[order].astype(np.float32)
-        self._first = np.searchsorted(self.row, np.arange(self.shape[0] + 1))
-        order = np.argsort(self.col, kind="stable").astype(np.int32)
-        self._second = np.searchsorted(self.col, np.arange(self.shape[1] + 1), sorter=order)
-        self._row_by_col, self._value_by_col = self.row[order], self.value[order]
+        self.row, self.col, self.value = self.row.astype(np.int32), self.col.astype(np.int32), self.value.astype(np.float32)
+        self._first = np.searchsorted(self.row, np.arange(self.shape[0] + 1, dtype=np.int32))
 
     def dot(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([_sums(c[self.col] * self.value, self._first) for c in x.T], axis=1)
-
-    def transposed_dot(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([_sums(c[self._row_by_col] * self._value_by_col, self._second) for c in x.T], axis=1)
+        return np.stack([_sums(c[self.col] * self.value, self._first) for c in x.T.astype(np.float32)], axis=1)
+
+    def transposed_dot(self, x: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+        out = np.zeros((self.shape[1], x.shape[1]))
+        for k, c in enumerate(x.T.astype(np.float32)):
+            for at in range(0, len(self.row), block):
+                some = slice(at, at + block)
+                part = np.bincount(self.col[some], c[self.row[some]] * self.value[some])
+                out[: len(part), k] += part
+        return out.astype(np.float32)
 
 
 @dataclass
