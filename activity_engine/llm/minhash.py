@@ -112,6 +112,17 @@ def _sets(size: int, wanted: Broadcast) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+def _held_in(held: Broadcast, column: str, inside: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows whose long in ``column`` may be in the bitmap, or those where it is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.filter(pa.array(bitmap.contains(held.value, keys) == inside))
+
+    return run
+
+
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Are two sorted sets at least ``percent`` similar?"""
     if len(x) > len(y):
@@ -169,17 +180,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bitmap
         # written, so that the joins back read plain shuffles, whose hot partitions are split
         repeated = own.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last")
         repeated = scratch.table(repeated.select("d1", "d2", "rep"), "repeated")
-        copies = own.select("doc_id", "d1", "d2").join(repeated, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+        row = F.xxhash64("doc_id", "d1", "d2").alias("row")  # an id may have several texts
+        copies = own.select("doc_id", "d1", "d2").join(repeated, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), row).filter("a <> b")
         copies = scratch.table(copies, "copies")
-        first = own.join(repeated, ["d1", "d2"], "left").filter("rep IS NULL OR doc_id = rep")
-        reps = scratch.table(first.select(F.col("doc_id").alias("id"), "d1", "sig").dropDuplicates(["id", "d1"]).select("id", "sig"), "classes")
+        # signatures stay where they were written: a bitmap tells nearly all first
+        # copies apart, and only the rows it holds go through an exact join
+        copied = bitmap.build(copies.select("row").distinct(), "row", scratch, bitmap_bits)
+        signed = own.select(F.col("doc_id").alias("id"), row, "sig")
+        doubtful = signed.mapInArrow(_held_in(copied, "row", True), signed.schema).join(copies, "row", "left_anti")
+        reps = signed.mapInArrow(_held_in(copied, "row", False), signed.schema).unionByName(doubtful)
 
         band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]))
         bucket = reps.select("id", band.alias("bucket"))
         shared = bucket.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last")
-        members = scratch.table(bucket.join(shared, "bucket").select("bucket", "id", "centre"), "members")
+        members = scratch.table(bucket.join(shared, "bucket").select("bucket", "id", "centre").distinct(), "members")
 
         wanted = bitmap.build(members.select("id").distinct(), "id", scratch, bitmap_bits)
+        reps = reps.mapInArrow(_held_in(wanted, "id", True), signed.schema).dropDuplicates(["id", "row"]).select("id", "sig")
         known = texts.filter("doc_id IS NOT NULL")
         sets = scratch.table(
             known.mapInArrow(_sets(shingle, wanted), "id long, grams binary").join(members.select("id").distinct(), "id", "left_semi"), "sets"
