@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, bitmap
         )
         confirm = _join_blocks(least_agreement(percent), percent)
         close = scratch.table(dealt.groupBy("family", "i", "j").applyInArrow(confirm, "a long, b long"), "links")
-        nodes = components(close.unionByName(copies), scratch, "all")
+        nodes = components(close.unionByName(copies.select("a", "b")), scratch, "all")
         out = base.select("doc_id", "n_shingles").join(nodes.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left")
         out = out.select(
             "doc_id",
