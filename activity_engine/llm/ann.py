@@ -55,8 +55,9 @@ def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full.append(v.tobytes())
             small.append(q.tobytes())
             scale.append(step)
-            norm.append(math.sqrt(math.fsum(v * v)))
-            error.append(math.sqrt(math.fsum((v - step * q) ** 2)))
+            # lengths of the vector over its largest component, so that no square overflows
+            norm.append(top * math.sqrt(math.fsum((v / top) ** 2)))
+            error.append(top * math.sqrt(math.fsum((v / top - step / top * q) ** 2)))
         yield pa.record_batch(
             [
                 pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(full, pa.binary()), pa.array(small, pa.binary()),
@@ -71,6 +72,23 @@ def _rows(table: pa.Table, dim: int) -> tuple[np.ndarray, ...]:
     return table["vec_id"].to_numpy(), cat("vector", np.float64), cat("small", np.int8), *(table[c].to_numpy() for c in ("scale", "norm", "error"))
 
 
+def _inner(a: np.ndarray, b: np.ndarray) -> float:
+    """Inner product in double precision, infinite where it leaves the doubles."""
+    with np.errstate(over="ignore"):
+        parts = a * b
+    try:
+        if np.isfinite(parts).all():
+            return math.fsum(parts)
+    except OverflowError:
+        pass
+    up = [int(np.frexp(np.abs(x).max())[1]) for x in (a, b)]
+    value = math.fsum(np.ldexp(a, -up[0]) * np.ldexp(b, -up[1]))
+    try:
+        return math.ldexp(value, sum(up))
+    except OverflowError:
+        return math.copysign(math.inf, value)
+
+
 def _tile(k: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         query, rank, near, score = [], [], [], []
@@ -83,14 +101,17 @@ def _tile(k: int) -> Callable[[pa.Table], pa.Table]:
         # equal vectors are computed once
         _, one, same = np.unique(c_full.view(np.dtype((np.void, 8 * dim))).ravel(), return_index=True, return_inverse=True) if len(c_id) else (0, 0, 0)
         for i in range(len(q_id) if len(c_id) else 0):
-            product = (q_small[i].astype(exact) @ wide).astype(np.float64) * (q_scale[i] * c_scale)
-            bound = (q_norm[i] * c_error + q_error[i] * (c_norm + c_error)) * (1 + 1e-9) + 1e-12 * q_norm[i] * c_norm
+            with np.errstate(over="ignore", invalid="ignore"):
+                product = (q_small[i].astype(exact) @ wide).astype(np.float64) * (q_scale[i] * c_scale)
+                bound = (q_norm[i] * c_error + q_error[i] * (c_norm + c_error)) * (1 + 1e-9) + 1e-12 * q_norm[i] * c_norm
+                # beyond the doubles nothing is known of a pair
+                low = np.nan_to_num(product - bound, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                high = np.nan_to_num(product + bound, nan=np.inf, posinf=np.inf, neginf=-np.inf)
             other = np.flatnonzero(c_id != q_id[i])
             if len(other) > k:
-                low = (product - bound)[other]
-                least = np.partition(low, len(low) - k)[len(low) - k]
-                other = other[(product + bound)[other] >= least]
-            values = {u: math.fsum(q_full[i] * c_full[one[u]]) for u in set(same[other].tolist())} if len(other) else {}
+                least = np.partition(low[other], len(other) - k)[len(other) - k]
+                other = other[high[other] >= least]
+            values = {u: _inner(q_full[i], c_full[one[u]]) for u in set(same[other].tolist())} if len(other) else {}
             best = heapq.nsmallest(k, ((-values[same[j]], int(c_id[j])) for j in other.tolist()))
             query += [int(q_id[i])] * len(best)
             near += [b[1] for b in best]

@@ -32,7 +32,8 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     scores = []
     for shard, weight in enumerate(weights):
         if weight > 0:
-            u = (F.shiftrightunsigned(F.xxhash64(text, F.lit(shard)), 11).cast("double") + 0.5) / float(1 << 53)
+            # 52 bits and a half: exact as a double, and never 0 or 1
+            u = (F.shiftrightunsigned(F.xxhash64(text, F.lit(shard)), 12).cast("double") + 0.5) / float(1 << 52)
             scores.append(F.struct((F.lit(-float(weight)) / F.ln(u)).alias("score"), F.lit(shard).alias("shard")))
     return F.array_max(F.array(*scores))["shard"]
 
@@ -61,6 +62,9 @@ def shard_table(docs: DataFrame, weights: Sequence[float], added: float | None =
         return scratch.keep(out, "result")
 
 
-def write_shards(df: DataFrame, path: str, weights: Sequence[float], key: str = "doc_id") -> None:
-    """``df`` as Parquet, one folder a shard; each task writes its rows where they lie."""
-    df.withColumn("shard", rendezvous(F.col(key), weights)).write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, weights: Sequence[float], key: str = "doc_id", shard: str = "shard") -> None:
+    """``df`` as Parquet, one folder a shard; each task writes its rows where they
+    lie.  The folders are named by ``shard``, which must not be a column of ``df``."""
+    if shard.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {shard!r}; name another for the shard")
+    df.withColumn(shard, rendezvous(F.col(key), weights)).write.partitionBy(shard).parquet(path)

@@ -34,6 +34,7 @@ from .words import slices
 SHARD = 1 << 22  # ids of a file, more only where one document is longer
 BLOCK = 1 << 18  # ids read and searched at once
 WIDTH = 2  # bytes of an id, little-endian
+TASK_BLOCKS = 64  # blocks that one task searches, about
 
 
 def _write(folder: str, path: str, end_id: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -42,6 +43,8 @@ def _write(folder: str, path: str, end_id: int, limit: int) -> Callable[[Iterato
         attempt = TaskContext.get().taskAttemptId()
         for number, (ids, _, docs) in enumerate(shards(batches, path, end_id, limit, False, slices)):
             name = f"{attempt:09d}-{number:06d}.ids"
+            if len(ids) and int(ids.max()) >> (8 * WIDTH):
+                raise ValueError(f"an id needs more than {WIDTH} bytes")
             files.write(f"{folder}/{name}", ids.astype("<u2").tobytes())
             yield pa.record_batch(
                 [pa.array([name] * len(docs)), pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.int64())], ["file", "ordinal", "doc_id"]
@@ -85,9 +88,13 @@ def _search(folder: str, end_id: int, block: int) -> Callable[[Iterator[pa.Recor
 def scan(file_names: DataFrame, folder: str, end_id: int, block: int = BLOCK) -> DataFrame:
     """(file, ordinal, start, n_tokens, closed) of every document of the flat
     files named in column ``file``; ``start`` is a place in the file."""
-    sized = file_names.select("file").distinct().mapInArrow(_sizes(folder), "file string, bytes long").filter("bytes > 0")
+    named = file_names.select("file").distinct()
+    sized = named.repartition(file_names.sparkSession.sparkContext.defaultParallelism).mapInArrow(_sizes(folder), "file string, bytes long").filter("bytes > 0")
     blocks = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("bytes") / (block * WIDTH)) - 1)))
-    found = blocks.repartition("file", "block").mapInArrow(_search(folder, end_id, block), "file string, block long, stop long, ends array<long>")
+    # rows of a few bytes would be put together into one task: the number of tasks is given
+    total = blocks.count()
+    tasks = max(-(-total // TASK_BLOCKS), file_names.sparkSession.sparkContext.defaultParallelism)
+    found = blocks.repartition(max(1, min(total, tasks))).mapInArrow(_search(folder, end_id, block), "file string, block long, stop long, ends array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select(
         "file",
@@ -118,5 +125,5 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, shard: int = SHAR
         folder = scratch.path("flat")
         order = scratch.table(write_flat(docs, folder, tokenizer, end_id, shard), "order")
         counted = scan(order.select("file"), folder, end_id, block)
-        out = counted.join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+        out = counted.join(order.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
         return scratch.keep(out, "result")

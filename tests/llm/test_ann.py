@@ -47,3 +47,11 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id long, embedding array<double>, score string")
     assert result(ann.nearest(df, F.lit(True), 20)) == brute(rows, 20, 1)
     assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_very_large_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e160, -1e160]), (2, [1e154, 1e154]), (3, [-1e308, 1e308]), (4, [1e308, 1e308]), (5, [1.0, 2.0]), (20, [1.7e308, 1.7e308])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect()
+    by = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 20)}
+    assert [v for v, _ in by[0]] == [2, 4, 20] and all(s == float("inf") for _, s in by[0])
+    assert by[20][0] == (0, float("inf")) and len(by[20]) == 3

@@ -49,3 +49,44 @@ def test_edge_rows(spark, tmp_path):
     assert shard_table(docs.limit(0), [1.0]).collect() == []
     write_shards(docs.drop("shard"), str(tmp_path / "out"), [1.0, 2.0])
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_shard_equals_the_choice_computed_apart(spark):
+    """The hashes come from the xxhash library, the choice from plain Python."""
+    import math
+
+    import xxhash
+
+    weights = [1.0, 2.5, 0.0, 1.0, 4.0]
+    ids = spark.range(3000)
+
+    def chosen(key):
+        best = (-math.inf, -1)
+        for shard, weight in enumerate(weights):
+            # Spark hashes the columns one after the other, each seeded with the last
+            h = xxhash.xxh64_intdigest(str(key).encode(), seed=42)
+            h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), seed=h)
+            u = ((h >> 12) + 0.5) / 2**52
+            if weight > 0:
+                best = max(best, (-weight / math.log(u), shard))
+        return best[1]
+
+    got = {r.id: r.s for r in ids.select("id", rendezvous(F.col("id"), weights).alias("s")).collect()}
+    assert got == {i: chosen(i) for i in range(3000)}
+
+
+def test_hashes_at_both_ends_give_a_finite_score(spark):
+    ends = spark.sql("SELECT explode(array(0L, -1L, 4095L, -4096L)) AS h")
+    u = (F.shiftrightunsigned("h", 12).cast("double") + 0.5) / float(1 << 52)
+    for r in ends.select(u.alias("u"), (F.lit(-1.0) / F.ln(u)).alias("score")).collect():
+        assert 0 < r.u < 1 and 0 < r.score < float("inf")
+
+
+def test_shard_column_is_never_overwritten(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([(1, 7)], "doc_id long, shard int")
+    with pytest.raises(ValueError):
+        write_shards(df, str(tmp_path / "a"), [1.0])
+    write_shards(df, str(tmp_path / "b"), [1.0], shard="part_of")
+    assert spark.read.parquet(str(tmp_path / "b")).select("doc_id", "shard").collect() == [(1, 7)]

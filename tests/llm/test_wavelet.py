@@ -77,3 +77,40 @@ def test_rank_select_access(bits, n):
         m.occurrence(1 << bits, 0)
     with pytest.raises(ValueError):
         WaveletMatrix.build(np.array([1 << bits]), bits)
+
+
+def test_lookups_inflate_a_chunk_a_plane(tmp_path):
+    ids = np.random.default_rng(4).integers(0, 1 << 16, 300_000)
+    path = str(tmp_path / "big.wvm")
+    blob = WaveletMatrix.build(ids, 16, {"doc_id": [1]}).to_bytes()
+    with open(path, "wb") as out:
+        out.write(blob)
+    m = WaveletMatrix.open(path)
+    read, source = [], m._source
+    m._source = lambda offset, n: read.append(n) or source(offset, n)
+    assert m.access(123_456) == ids[123_456]
+    assert sum(read) < len(blob) / 3 and len(read) <= 2 * 16
+    token = int(ids[77])
+    assert m.count(token) == (ids == token).sum() and [m.occurrence(token, k) for k in range(m.count(token))] == np.flatnonzero(ids == token).tolist()
+    assert np.array_equal(m.decode(), ids)
+
+
+def test_files_are_read_by_several_tasks_and_looked_up_over_all(spark, tmp_path):
+    from activity_engine.llm import wavelet
+
+    docs = spark.createDataFrame([(i, f"the cat {i} sat on the mat " * (1 + i % 7)) for i in range(200)], "doc_id long, text string").repartition(3)
+    files = wavelet.write_tokens(docs, str(tmp_path / "files"), PATH, shard=300).persist()
+    n = files.count()
+    assert n > 12
+    assert wavelet.read_digest(files).rdd.getNumPartitions() > 1
+    assert wavelet.read_digest(files, task_ids=300).rdd.getNumPartitions() > 4
+    placed = sorted((r.before, r.path) for r in wavelet._placed(files).collect())
+    flat = np.concatenate([WaveletMatrix.open(p).decode() for _, p in placed]).astype(np.int64)
+    tokens = [int(t) for t in (flat[0], flat[5], 2, 40_000)]
+    assert {r.token: r.n for r in wavelet.count_tokens(files, tokens).collect()} == {t: int((flat == t).sum()) for t in tokens}
+    found = wavelet.locate_tokens(files, tokens).collect()
+    assert sorted((r.token, r.position) for r in found) == sorted((t, int(i)) for t in tokens for i in np.flatnonzero(flat == t))
+    starts = {r.doc_id: r.start for r in wavelet.read_digest(files).collect()}
+    assert all(starts[r.doc_id] + r.place == r.position for r in found)
+    empty = wavelet.write_tokens(docs.limit(0), str(tmp_path / "none"), PATH)
+    assert wavelet.locate_tokens(empty, tokens).collect() == [] and wavelet.read_digest(empty).collect() == []
