@@ -133,6 +133,27 @@ def q_json_event_log(spark, d):
     return CL.clean_events(read_events(spark, path, "json")).select(*ACTIVITY_COLUMNS)
 
 
+@register(
+    "log_line_counts",
+    sql(
+        "SELECT count(*) AS n_lines, count(*) FILTER (broken) AS n_malformed, count(*) FILTER (NOT broken AND userId IS NULL) AS n_null_user, "
+        "count(*) FILTER (NOT broken AND userId = '') AS n_blank_user, count(*) FILTER (NOT broken AND userId <> '') AS n_clean "
+        "FROM (SELECT *, itemInSession = 13 AND ts % 7 = 0 AS broken FROM activity)"
+    ),
+)
+def q_log_line_counts(spark, d):
+    """S-1 / P-2: counts of a raw JSON-lines log in which some lines are cut off."""
+    from ..session import scratch_path
+    from ..sources.schema import line_counts
+
+    path = scratch_path(spark, f"log_lines/{uuid.uuid4().hex}")
+    a = raw(spark, d)
+    line = F.to_json(F.struct(*a.columns))
+    broken = (F.col("itemInSession") == 13) & (F.col("ts") % 7 == 0)
+    a.select(F.when(broken, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    return line_counts(spark.read.text(path))
+
+
 # ---------------------------------------------------------------- distinct counts, users by
 
 
@@ -398,6 +419,30 @@ def q_user_span(spark, d):
     return CH.with_user_span(clean(spark, d).select("userId", "sessionId", "itemInSession", "ts"))
 
 
+def _bucketed(spark, a: DataFrame, subs: int) -> DataFrame:
+    from ..sources.buckets import write_user_buckets
+
+    return write_user_buckets(a, "events_by_user", int(spark.conf.get("spark.sql.shuffle.partitions")), subs)
+
+
+@register("churn_flag_bucketed", ORACLES["churn_flag"])
+def q_churn_flag_bucketed(spark, d):
+    """W-5 / J-5 on a table bucketed by user: neither the flag nor its spread moves events."""
+    from ..sources.buckets import spread
+
+    events = _bucketed(spark, clean(spark, d).select("userId", "ts", "page"), 1)
+    return spread(events, CH.churn_labels(events, "Churn"))
+
+
+@register("user_span_bucketed", ORACLES["user_span"])
+def q_user_span_bucketed(spark, d):
+    """W-1 on a table whose users are split over four sub-buckets each."""
+    from ..sources.buckets import spread
+
+    events = _bucketed(spark, clean(spark, d).select("userId", "sessionId", "itemInSession", "ts"), 4)
+    return spread(events, CH.user_span(events), 4)
+
+
 @register(
     "daily_counts",
     sql("SELECT userId, ts, date, count(*) OVER (PARTITION BY userId, date) AS events FROM clean", *CLEAN_CTES),

@@ -114,6 +114,37 @@ def read_events(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).format(fmt).load(path)
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """S-1: text lines (column ``value``) as events of the declared schema beside
+    ``value`` and ``malformed``, true where a line is no JSON object of that
+    schema (a field of another type included).  Lines without content are left out."""
+    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("_broken", T.StringType())])
+    event = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    parsed = lines.filter(F.trim("value") != "").withColumn("event", event)
+    return parsed.select("value", (F.col("event").isNull() | F.col("event._broken").isNotNull()).alias("malformed"), *[f"event.{f.name}" for f in EVENT_SCHEMA.fields])
+
+
+def read_events_checked(spark: SparkSession, path: str, quarantine: str) -> DataFrame:
+    """S-1: the events of a JSON-lines log.  Malformed lines are written to the
+    folder ``quarantine`` as they stand (column ``value``) and are not events."""
+    parsed = parse_lines(spark.read.text(path))
+    parsed.filter("malformed").select("value").write.mode("overwrite").parquet(quarantine)
+    return parsed.filter("NOT malformed").drop("value", "malformed")
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """P-2 for a raw log, in one pass: lines, malformed lines, events without a user
+    (null, blank) and clean ones; the last four add up to the first."""
+    user = F.when(~F.col("malformed"), F.col("userId"))
+    return parse_lines(lines).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if("malformed").alias("n_malformed"),
+        F.count_if(~F.col("malformed") & F.col("userId").isNull()).alias("n_null_user"),
+        F.count_if(user == "").alias("n_blank_user"),
+        F.count_if(user != "").alias("n_clean"),
+    )
+
+
 def read_features(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = TRAINING_SCHEMA) -> DataFrame:
     """S-2: read a stored feature table back with its declared schema and order."""
     df = spark.read.schema(schema).format(fmt).load(path)

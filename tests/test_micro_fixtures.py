@@ -259,3 +259,23 @@ def test_users_by_approx_close_to_exact(spark):
     approx = {r.location: r.count_users for r in PR.users_by(a, ["location"], approx=True).collect()}
     assert set(exact) == set(approx)
     assert all(abs(approx[k] - exact[k]) <= max(1, 0.05 * exact[k]) for k in exact)
+
+
+def test_malformed_lines_go_to_quarantine(spark, tmp_path):
+    from activity_engine.operators.clean import clean_events
+    from activity_engine.sources.schema import EVENT_SCHEMA, line_counts, read_events_checked
+
+    lines = [
+        '{"userId":"a","ts":1538352117000,"page":"NextSong"}', '{"userId":"","ts":1,"page":"Home"}', '{"ts":2,"page":"Help"}',
+        '{"userId":"b","ts":', "no json at all", '{"userId":"c","ts":"yesterday"}', "", "   ", '{"userId":"d","unknown":[1,2]}',
+    ]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "part.json").write_text("\n".join(lines) + "\n")
+    events = read_events_checked(spark, str(tmp_path / "log"), str(tmp_path / "quarantine"))
+    assert events.columns == [f.name for f in EVENT_SCHEMA.fields]
+    assert sorted(r.userId for r in clean_events(events).collect()) == ["a", "d"]
+    held = spark.read.parquet(str(tmp_path / "quarantine"))
+    assert {r.value for r in held.collect()} == set(lines[3:6])
+    c = line_counts(spark.read.text(str(tmp_path / "log"))).first()
+    assert (c.n_lines, c.n_malformed, c.n_null_user, c.n_blank_user, c.n_clean) == (7, 3, 1, 1, 2)
+    assert c.n_lines == c.n_clean + c.n_blank_user + c.n_null_user + held.count()

@@ -113,3 +113,26 @@ def test_skewed_user_results_stay_whole(spark):
     assert latest["hot"] == max(i for i in range(n) if i % 3 == 0)
     ct = {(r.churn, r.page): r["count"] for r in CT.event_crosstab(rows, F.col("page"), "page").collect()}
     assert sum(ct.values()) == n
+
+
+def test_spreads_on_a_bucketed_table_move_no_events(spark):
+    from activity_engine.plans.catalog import clean
+    from activity_engine.sources.buckets import spread, write_user_buckets
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = clean(spark, SMALL).select("userId", "ts", "page")
+        events = write_user_buckets(rows, "plan_events", 4)
+        flagged = spread(events, CH.churn_labels(events))
+        assert "Exchange" not in plan(flagged) and "SortMergeJoin" in plan(flagged)
+        split = write_user_buckets(rows, "plan_events_split", 4, subs=3)
+        spanned = spread(split, CH.user_span(split), 3)
+        lines = plan(spanned).splitlines()
+        # what moves is the partial aggregate and the per-user rows; the events join where they lie
+        moved = [i for i, line in enumerate(lines) if "Exchange" in line]
+        assert moved and all(any("Aggregate" in x or "Generate" in x for x in lines[i + 1 : i + 4]) for i in moved)
+        assert sorted(map(tuple, spanned.select(*rows.columns, "first_ts").collect())) == sorted(map(tuple, CH.with_user_span(rows).select(*rows.columns, "first_ts").collect()))
+        assert split.filter("userId = '1'").select("_sub").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
