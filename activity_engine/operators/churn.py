@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .bloom import filtered_semi_join
 
 # Order that decides "the last event": time, session, item, and for events alike
 # in all three the columns below, larger values last, nulls first.  Every
@@ -58,6 +59,12 @@ def events_of_churned(a: DataFrame) -> DataFrame:
     return a.join(users, "userId", "left_semi")
 
 
+def events_of_churned_filtered(a: DataFrame) -> DataFrame:
+    """P-5 / J-5 behind a Bloom filter of those users: events of others end in the scan
+    stage instead of going to the semi-join (``bloom.filtered_semi_join``)."""
+    return filtered_semi_join(a, a.filter(F.col("page") == X.CANCELLATION_PAGE), "userId")
+
+
 def with_user_span(a: DataFrame) -> DataFrame:
     """W-1: first and last event time of the user on every row."""
     return a.join(user_span(a), "userId")

@@ -64,6 +64,27 @@ def map_values(df: DataFrame, column: str, mapping: dict) -> DataFrame:
     return df.replace(mapping, subset=[column])
 
 
+def map_values_from(df: DataFrame, column: str, mapping: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """P-11 for a mapping of any size: values of ``column`` found among ``key`` of the
+    table ``mapping`` become its ``value`` (null too); others stay as they are.
+
+    Keys and values take the column's type.  A null in the column stays null,
+    null keys are left out, and a key that occurs twice ends the job.  The join
+    has no hint: the mapping is broadcast only at a measured size.
+    """
+    k, v, hit, cols = "_map_key", "_map_value", "_map_hit", df.columns
+    if clash := {k, v, hit} & set(cols):
+        raise ValueError(f"columns {sorted(clash)} are used by the mapping")
+    as_column = df.schema[column].dataType
+    pairs = mapping.select(F.col(f"`{key}`").cast(as_column).alias(k), F.col(f"`{value}`").cast(as_column).alias(v)).filter(F.col(k).isNotNull())
+    once = pairs.groupBy(k).agg(F.count(F.lit(1)).alias(hit), F.first(v).alias(v))
+    twice = F.raise_error(F.concat(F.lit(f"mapping of {column} has a key twice: "), F.col(k).cast("string"))).cast("long")
+    once = once.withColumn(hit, F.when(F.col(hit) == 1, F.col(hit)).otherwise(twice))
+    old = F.col(f"`{column}`")
+    joined = df.join(once, old == F.col(k), "left")
+    return joined.select(*[F.when(F.col(hit).isNotNull(), F.col(v)).otherwise(old).alias(c) if c == column else F.col(f"`{c}`") for c in cols])
+
+
 def row_sum(df: DataFrame, cols: list[str], out: str) -> DataFrame:
     """P-12: row-wise sum of columns."""
     return df.withColumn(out, functools.reduce(operator.add, [F.col(f"`{c}`") for c in cols]))

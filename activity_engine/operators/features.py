@@ -29,6 +29,7 @@ from ..session import materialize
 from ..sources.schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES, PIVOT_PAGES
 from .churn import cancel_flag, last_event
 from .clean import after_noon_hour, clean_events, in_first_half_of_month, row_sum, zero_fill
+from .codes import count_pairs, encode, number_codes
 
 
 def _is(page: str) -> Column:
@@ -77,7 +78,11 @@ def behaviour_features(a: DataFrame, as_of: str, keep_silent: bool = False) -> D
     dropped (T-2).  Ties at the last ``ts`` go to the larger sessionId, then
     itemInSession (T-1).
     """
-    daily = daily_activity(clean_events(a))
+    return behaviour_from_daily(daily_activity(clean_events(a)), as_of, keep_silent)
+
+
+def behaviour_from_daily(daily: DataFrame, as_of: str, keep_silent: bool = False) -> DataFrame:
+    """C-2 from (user, day) rows of ``daily_activity``, one row for each user and day."""
     users = daily.groupBy("userId").agg(
         F.max("cancel").cast("int").alias("churn"),
         X.day_date(F.min("day")).alias("first_date"),
@@ -171,16 +176,19 @@ def page_pivot(a: DataFrame, pages: list[str] = PIVOT_PAGES, total: str | None =
 
 
 def play_counts(a: DataFrame) -> DataFrame:
-    """A-14: total plays, unique songs, unique artists per user with plays."""
-    play = _is(X.PLAY_PAGE)
-    return (
-        a.groupBy("userId")
-        .agg(
-            F.count_if(play).alias("total_songs"),
-            _distinct_with_null("song", play).alias("unique_songs"),
-            _distinct_with_null("artist", play).alias("unique_artists"),
-        )
-        .filter(F.col("total_songs") > 0)
+    """A-14: total plays, unique songs, unique artists per user with plays (a null
+    song or artist is one value, T-9).
+
+    Two grains: plays by (user, song or artist, value), then by user.  Only plays
+    are read as two narrow rows each; two distinct counts in one aggregate would
+    copy every event three times.
+    """
+    values = F.array(F.struct(F.lit(True).alias("is_song"), F.col("song").alias("value")), F.struct(F.lit(False).alias("is_song"), F.col("artist").alias("value")))
+    by_value = a.filter(_is(X.PLAY_PAGE)).select("userId", F.inline(values)).groupBy("userId", "is_song", "value").agg(F.count(F.lit(1)).alias("_n"))
+    return by_value.groupBy("userId").agg(
+        F.sum(F.when(F.col("is_song"), F.col("_n"))).alias("total_songs"),
+        F.count_if("is_song").alias("unique_songs"),
+        F.count_if(~F.col("is_song")).alias("unique_artists"),
     )
 
 
@@ -300,6 +308,18 @@ def categorical_features(a: DataFrame) -> DataFrame:
     return coded.select("userId", *CATEGORICAL_FEATURES)
 
 
+def categorical_features_joined(a: DataFrame) -> DataFrame:
+    """C-3 with a dictionary that is a table and is joined: the same codes, no label
+    in the driver, so the columns may have any number of values."""
+    a = clean_events(a)
+    users = materialize(a.groupBy("userId").agg(last_event(a).alias("last"), *category_sets()), "user_categories")
+    sets = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_set_{c}").alias("values")) for c in CATEGORICAL_FEATURES])
+    codes = number_codes(count_pairs(users.select(F.inline(sets)).select("column", F.explode("values").alias("value"))))
+    values = with_categories(users).select("userId", *CATEGORICAL_FEATURES)
+    coded = encode(values, codes, {c: f"{c}_code" for c in CATEGORICAL_FEATURES})
+    return coded.select("userId", *[F.col(f"{c}_code").cast("int").alias(c) for c in CATEGORICAL_FEATURES])
+
+
 def training_set(a: DataFrame, keep_silent: bool = False) -> DataFrame:
     """C-5: userId, 4 int codes, 18 float features, Churn; nulls to 0.
 

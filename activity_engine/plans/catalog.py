@@ -21,6 +21,10 @@ from ..operators import clean as CL
 from ..operators import crosstab as CT
 from ..operators import features as FE
 from ..operators import profile as PR
+from ..operators.codes import build_codes, encode
+from ..operators.sketches import estimated_users, merge_sketches, relative_error, user_sketches
+from ..operators.states import behaviour_of_states, write_states
+from ..session import materialize
 from ..sources import fixtures
 from ..sources.schema import schema_report
 from . import oracle_sql as O
@@ -1221,6 +1225,119 @@ def q_churned_events(spark, d):
     return CH.events_of_churned(clean(spark, d).select("userId", "ts", "page")).select("userId", "ts", "page")
 
 
+@register("churned_events_filtered", ORACLES["churned_events"])
+def q_churned_events_filtered(spark, d):
+    """P-5 / J-5 behind a Bloom filter of the churned users."""
+    return CH.events_of_churned_filtered(clean(spark, d).select("userId", "ts", "page"))
+
+
+# ---------------------------------------------------------------- tables kept and merged, joined dictionaries and maps
+
+
+@register("behaviour_features_incremental", ORACLES["behaviour_features"])
+def q_behaviour_features_incremental(spark, d):
+    """C-2 from user-day states written in three batches, some of whose events come late."""
+    from ..session import scratch_path
+
+    a = raw(spark, d)
+    path = scratch_path(spark, f"user_days/{uuid.uuid4().hex}")
+    late = F.col("itemInSession") < 5
+    day = X.day_of("ts")
+    arrived = F.when((day <= 10) & ~late, 0).when((day <= 20) & ~late | (day <= 10), 1).otherwise(2)
+    for batch in range(3):
+        write_states(a.filter(arrived == batch), path, f"b{batch}")
+    return behaviour_of_states(spark, path, AS_OF)
+
+
+@register("label_codes_table", ORACLES["label_encoding"])
+def q_label_codes_table(spark, d):
+    """M-6 as a written table, codes by range of values."""
+    codes = build_codes(FE.category_columns(clean(spark, d)), FE.CATEGORICAL_FEATURES)
+    return codes.select("column", "value", F.col("code").cast("int").alias("code"))
+
+
+@register("categorical_features_joined", ORACLES["categorical_features"])
+def q_categorical_features_joined(spark, d):
+    """C-3 with the joined dictionary."""
+    return FE.categorical_features_joined(raw(spark, d))
+
+
+@register("indexed_categories_joined", ORACLES["indexed_categories"])
+def q_indexed_categories_joined(spark, d):
+    """M-1 by falling frequency with a joined dictionary."""
+    users = written_batch_features(spark, d)
+    names = dict(zip(ML.BATCH_CATEGORICAL, ML.BATCH_INDEXED))
+    coded = encode(users, build_codes(users, list(names), "frequency"), names)
+    return coded.select("userId", *[F.col(c).cast("double").alias(c) for c in ML.BATCH_INDEXED])
+
+
+@register(
+    "song_codes",
+    sql(
+        "SELECT c.userId, c.ts, c.song, s.code AS song_code FROM clean c LEFT JOIN s ON c.song = s.song WHERE c.page = 'NextSong'",
+        CLEAN,
+        "s AS (SELECT song, row_number() OVER (ORDER BY count(*) DESC, song) - 1 AS code FROM clean "
+        "WHERE page = 'NextSong' AND song IS NOT NULL GROUP BY song)",
+    ),
+)
+def q_song_codes(spark, d):
+    """M-1 on every play: songs coded by falling frequency, hot songs salted."""
+    plays = CL.events_on(clean(spark, d), X.PLAY_PAGE).select("userId", "ts", "song")
+    return encode(plays, build_codes(plays, ["song"], "frequency"), {"song": "song_code"}, salts=4)
+
+
+@register(
+    "mapped_customers",
+    sql("SELECT c.ts, c.page, coalesce(m.c_name, c.userId) AS userId FROM clean c LEFT JOIN customer m ON c.userId = CAST(m.c_custkey AS VARCHAR)", *CLEAN_CTES),
+)
+def q_mapped_customers(spark, d):
+    """P-11 with a mapping that grows with the data: user ids to customer names."""
+    names = fixtures.table(spark, d, "customer")
+    return CL.map_values_from(clean(spark, d).select("ts", "page", "userId"), "userId", names, "c_custkey", "c_name")
+
+
+def _beside_exact(estimates: DataFrame, exact: DataFrame, dims: list[str]) -> DataFrame:
+    """Exact counts and whether the estimate lies within five standard errors (or one user)."""
+    both = exact.join(estimates.withColumnRenamed("count_users", "_estimate"), dims)
+    bound = F.greatest(F.lit(1.0), 5 * relative_error() * F.col("count_users"))
+    return both.select(*dims, "count_users", (F.abs(F.col("_estimate") - F.col("count_users")) <= bound).alias("within_bound"))
+
+
+@register(
+    "monthly_users_sketched",
+    sql(
+        "SELECT level, strftime(t, '%Y-%m') AS month, count(DISTINCT userId) AS count_users, TRUE AS within_bound FROM clean GROUP BY 1, 2",
+        *CLEAN_CTES,
+    ),
+)
+def q_monthly_users_sketched(spark, d):
+    """A-3 / A-4: daily sketches written once and merged into months, beside the exact counts."""
+    a = clean(spark, d)
+    month = F.substring(X.day_date("day").cast("string"), 1, 7).alias("month")
+    daily = materialize(user_sketches(a, ["level", X.event_day("ts").alias("day")]), "user_sketches")
+    months = estimated_users(merge_sketches(daily, ["level", month]))
+    exact = a.withColumn("day", X.event_day("ts")).groupBy("level", month).agg(F.count_distinct("userId").alias("count_users"))
+    return _beside_exact(months, exact, ["level", "month"])
+
+
+@register(
+    "state_users_sketched",
+    sql(
+        f"SELECT {STATE_SQL.format(x='location')} AS state, count(DISTINCT userId) AS count_users, TRUE AS within_bound FROM clean "
+        f"WHERE {STATE_SQL.format(x='location')} IS NOT NULL GROUP BY 1",
+        *CLEAN_CTES,
+    ),
+)
+def q_state_users_sketched(spark, d):
+    """A-6 by merged sketches: users of each state group counted once, beside the exact counts."""
+    a = clean(spark, d)
+    places = materialize(user_sketches(a, ["location"]), "user_sketches")
+    state = X.state_group("location").alias("state")
+    states = estimated_users(merge_sketches(places.filter(state.isNotNull()), [state]))
+    exact = a.filter(state.isNotNull()).groupBy(state).agg(F.count_distinct("userId").alias("count_users"))
+    return _beside_exact(states, exact, ["state"])
+
+
 # ---------------------------------------------------------------- the report as one table
 
 
