@@ -1184,6 +1184,29 @@ def q_score_stream(spark, d):
     return spark.read.parquet(sink)
 
 
+@register(
+    "stream_equals_batch",
+    sql("SELECT 2 * count(*) AS n_requests, 2 * count(*) AS n_streamed, CAST(0 AS BIGINT) AS n_different FROM bf", *BF_CTES),
+)
+def q_stream_equals_batch(spark, d):
+    """C-8 / C-9: requests scored by the stream, file by file, against the batch plan of one model."""
+    from ..session import scratch_path
+    from ..streaming.scoring import start_scoring
+
+    model, _, bf = _built_model(spark, d)
+    base = scratch_path(spark, f"stream_equals_batch/{uuid.uuid4().hex}")
+    requests = scoring_requests(bf)
+    requests.repartition(4, "request_id").write.parquet(f"{base}/requests")
+    start_scoring(model, spark, f"{base}/requests", f"{base}/scored", f"{base}/checkpoint", AS_OF, available_now=True, max_files=1).awaitTermination()
+    streamed = spark.read.parquet(f"{base}/scored").withColumnRenamed("outcome", "streamed")
+    both = SC.score_requests(model, requests, AS_OF).join(streamed, "request_id", "full")
+    return both.agg(
+        F.count("outcome").alias("n_requests"),
+        F.count("streamed").alias("n_streamed"),
+        F.count_if(~F.col("outcome").eqNullSafe(F.col("streamed"))).alias("n_different"),
+    )
+
+
 # ---------------------------------------------------------------- SQL over a registered view, filters
 
 

@@ -229,6 +229,53 @@ def test_explore_report_tables(spark):
     assert sc["scaled_hour"].filter("scaled < 0 OR scaled > 1").count() == 0
 
 
+def test_explore_tables_equal_their_operators(spark):
+    """Each table derived from the shared cells and users is that of its own operator."""
+    import __spark_entry__ as entry
+    from activity_engine.plans.report import explore
+    from activity_engine.sources.fixtures import activity
+
+    raw = activity(spark, SMALL)
+    a = CL.clean_events(raw).persist()
+    rep = explore(raw)
+    user_dims = {"auth": F.col("auth"), "gender": F.col("gender"), "level": F.col("level"), "city": X.city("location"), "state": X.state_group("location")}
+    event_dims = {"page": F.col("page"), "browser": X.browser("userAgent"), "platform": X.platform("userAgent"),
+                  "hour": X.hour_of("ts"), "day": X.day_of("ts"), "weekday": X.weekday_of("ts")}
+    want = {
+        "distinct_users": PR.distinct_count(a, "userId", "unique_users"),
+        "distinct_auth": PR.distinct_values(a, "auth").orderBy("auth"),
+        "distinct_pages": PR.distinct_values(a, "page").orderBy("page"),
+        "events_by_page": PR.events_by(a, ["page"]),
+        "level_changers": PR.level_changers(a),
+        "length_histogram": PR.histogram(a, "length", 20),
+        "top_locations": PR.top_k(PR.users_by(a, ["location"]), "count_users", 5, ["location"]),
+        "top_agents": PR.top_k(PR.users_by(a, ["userAgent"]), "count_users", 5, ["userAgent"]),
+        "churn_counts": CT.label_balance(CH.churn_labels(a)),
+        "length_by_churn": CT.length_by_churn(a),
+        "state_rollup": PR.rolled_up_users(a, "location", X.state_group("location"), "state"),
+        "browser_rollup": PR.rolled_up_users(a, "userAgent", X.browser("userAgent"), "browser"),
+        "platform_rollup": PR.rolled_up_users(a, "userAgent", X.platform("userAgent"), "platform"),
+        **{f"users_by_{d}": PR.users_by(a, [d]) for d in ["auth", "gender", "level", "location", "userAgent"]},
+        **{f"events_by_{p}": PR.events_by_time(a, p) for p in ["weekday", "day", "hour"]},
+        **{f"churn_by_{n}": CT.user_crosstab(a, c, n) for n, c in user_dims.items()},
+        **{f"events_by_churn_{n}": CT.event_crosstab(a, c, n) for n, c in event_dims.items()},
+        **{f"ztest_{d}": CT.ztest_counts(CT.user_latest_with_churn(a, [d]), d) for d in ["gender", "level"]},
+    }
+    assert set(rep) == {*want, "quality_counts", "row_count", "profile", "distinct_items"}
+    for name, frame in want.items():
+        got = rep[name].orderBy(*rep[name].columns[:1]) if name.startswith("distinct_") else rep[name]
+        assert got.columns == frame.columns and [f.dataType for f in got.schema] == [f.dataType for f in frame.schema], name
+        assert _rounded(got.collect()) == _rounded(frame.collect()), name
+    scanning = [n for n, df in rep.items() if "events.parquet" in df._jdf.queryExecution().executedPlan().toString()]
+    assert sorted(scanning) == ["distinct_items", "length_histogram", "profile", "quality_counts", "row_count"]
+    assert entry.queries()["report"](spark, SMALL).count() > 100
+    a.unpersist()
+
+
+def _rounded(rows):
+    return [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
+
+
 def test_user_without_evening_events_absent_from_hour_share(spark):
     a = events(spark, {"userId": "x", "ts": T0 + 9 * 3_600_000}, {"userId": "y"})
     got = {r.userId for r in FE.share_of_events(a, CL.after_noon_hour(), "h").collect()}
